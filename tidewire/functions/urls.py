@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Query parameters that only track the reader.
-TRACKING = r"utm_[a-z0-9_]*|fbclid|gclid|dclid|gbraid|wbraid|msclkid|yclid|igshid|igsh|mc_cid|mc_eid|_ga|_gl|twclid|ttclid|li_fat_id|ref|ref_src|ref_url|cmpid|cmp|ocid|ncid|smid|sr_share|share|src|source|campaign|partner|rss|feed|ns_mchannel|ns_source|ns_campaign|at_medium|at_campaign|spm|mkt_tok|oref|xtor|wt_mc|vero_id|vero_conv|s_cid|trk|trkcampaign|_hsenc|_hsmi|hsctatracking|amp"
+TRACKING = r"utm_[a-z0-9_]*|fbclid|gclid|dclid|gbraid|wbraid|gclsrc|msclkid|yclid|igshid|igsh|mc_cid|mc_eid|_ga|_gl|twclid|ttclid|li_fat_id|ref|ref_src|ref_url|cmp|cmpid|ocid|ncid|smid|smtyp|sr_share|ns_mchannel|ns_source|ns_campaign|at_medium|at_campaign|spm|mkt_tok|oly_enc_id|oly_anon_id|wt_mc|vero_id|vero_conv|s_cid|trk|trkcampaign|_hsenc|_hsmi|hsctatracking"
 
 
 def site_host(url: Column) -> Column:
