@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm import boilerplate, neardup, sitelines, tokenizer, truncation
+from tidewire.llm import boilerplate, history, leakage, neardup, sitelines, tokenizer, truncation
 from tidewire.queries import query
 from tidewire.session import table
 
@@ -59,6 +59,14 @@ def p3_groups(spark, d):
     return neardup.near_duplicate_groups(table(spark, d, "news_articles"))
 
 
+@query("p5_found")
+def p5_found(spark, d):
+    feeds = table(spark, d, "feeds")
+    old = history.arrivals(table(spark, d, "news_articles"), feeds, "row_id", True)
+    new = history.arrivals(table(spark, d, "rss_items"), feeds, "item_id", False)
+    return history.repeats(old, new).select(F.col("id").alias("item_id"))
+
+
 P6_SQL = r"""
 WITH lines AS (
   SELECT row_id, source_name, CAST(i AS INTEGER) AS line_no,
@@ -99,3 +107,16 @@ def p7_round_trip(spark, d):
     docs = table(spark, d, "documents")
     back = tokenizer.decode_corpus(tokenizer.encode_corpus(docs)).withColumnRenamed("text", "decoded")
     return docs.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where("exact_words >= 15").select("doc_id", "item_id").distinct()
+
+
+@query("p8_items")
+def p8_items(spark, d):
+    """Which test items leaked, into how many documents, exactly or with substituted words."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count_if(F.col("exact_words") >= 15).alias("n_exact"), F.count(F.lit(1)).alias("n_docs"), F.max("tolerant_words").alias("longest"))
