@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm import boilerplate, history, leakage, neardup, sitelines, tokenizer, truncation
+from tidewire.llm import boilerplate, history, leakage, neardup, pii, sitelines, tokenizer, truncation
 from tidewire.queries import query
 from tidewire.session import table
 
@@ -120,3 +120,15 @@ def p8_items(spark, d):
     """Which test items leaked, into how many documents, exactly or with substituted words."""
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.groupBy("item_id").agg(F.count_if(F.col("exact_words") >= 15).alias("n_exact"), F.count(F.lit(1)).alias("n_docs"), F.max("tolerant_words").alias("longest"))
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    docs = table(spark, d, "documents")
+    return pii.find(docs, pii.fit(docs, table(spark, d, "given_names")))
+
+
+@query("p9_redacted")
+def p9_redacted(spark, d):
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, pii.fit(docs, table(spark, d, "given_names")))
