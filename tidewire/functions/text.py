@@ -12,6 +12,7 @@ CLUSTER_STOP = "a an and are as at be but by for from has have he her his how in
 HEAT_STOP = "about after again against also amid before being could from have into just like more most over said says than that their them then there these they this those through what when where which while will with would your here first last year years week weeks today night time back best ever every show shows season episode review trailer watch video photos live update news report reports new"
 #: Query parameters that say nothing about the page a story is on.
 STORY_TRACKING = r"^(?:utm_.*|fbclid|gclid|dclid|msclkid|mc_[a-z]+|ref|ref_src|referrer|cmp|cid|ocid|taid|igshid|_ga|_gl|oly_.*|s_cid|smid|soc_src|soc_trk)$"
+SCRIPTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 #: What marks a story as opinion.
 OPINION_TITLE = r"(?i)^\s*(?:opinion|commentary|editorial|op-?ed|column|perspective|hot take)\s*[:|–—-]"
 OPINION_PATH = r"(?i)/(?:opinions?|commentary|editorials?|op-?eds?|columns?|columnists?|perspectives?)(?:/|$)"
@@ -69,29 +70,32 @@ def is_opinion(title: Column, link: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """HTML to text: scripts dropped, tags to spaces, the common entities decoded, white space collapsed; '' for null."""
-    text = F.regexp_replace(blank(html), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(blank(html), SCRIPTS, " ")
     text = F.regexp_replace(text, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;", "'"), ("&amp;", "&")):
         text = F.regexp_replace(text, entity, char)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " "))
+
+
+MARKDOWN_STEPS = (
+    (r"(?is)<li\b[^>]*>(.*?)</li>", "\n- $1"),
+    (r"(?is)<blockquote\b[^>]*>(.*?)</blockquote>", "\n\n> $1\n\n"),
+    (r"(?is)<(?:strong|b)(?:\s[^>]*)?>(.*?)</(?:strong|b)>", "**$1**"),
+    (r"(?is)<(?:em|i)(?:\s[^>]*)?>(.*?)</(?:em|i)>", "*$1*"),
+    (r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
+    (r"(?i)<br\s*/?>|</p>|</div>", "\n"),
+    (r"<[^>]*>", ""),
+    (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#0?39;", "'"), (r"&amp;", "&"),
+    (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
+)
 
 
 def markdown(html: Column, limit: int = 16_000) -> Column:
     """HTML to markdown: headings, list points, quotes, emphasis and links; at most ``limit`` characters."""
-    text = F.regexp_replace(blank(html), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    text = F.regexp_replace(blank(html), SCRIPTS, "")
     for level in range(1, 7):
         text = F.regexp_replace(text, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
-    for pattern, to in (
-        (r"(?is)<li\b[^>]*>(.*?)</li>", "\n- $1"),
-        (r"(?is)<blockquote\b[^>]*>(.*?)</blockquote>", "\n\n> $1\n\n"),
-        (r"(?is)<(?:strong|b)(?:\s[^>]*)?>(.*?)</(?:strong|b)>", "**$1**"),
-        (r"(?is)<(?:em|i)(?:\s[^>]*)?>(.*?)</(?:em|i)>", "*$1*"),
-        (r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-        (r"(?i)<br\s*/?>|</p>|</div>", "\n"),
-        (r"<[^>]*>", ""),
-        (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#0?39;", "'"), (r"&amp;", "&"),
-        (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, to in MARKDOWN_STEPS:
         text = F.regexp_replace(text, pattern, to)
     return F.left(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(limit))
 

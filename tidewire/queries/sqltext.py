@@ -91,3 +91,19 @@ def normalised_url(link: str) -> str:
 
 def word_count(x: str) -> str:
     return f"len(list_filter(string_split_regex({blank(x)}, '\\s+'), lambda w: w <> ''))"
+
+
+def plain_text(x: str) -> str:
+    out = sub(sub(blank(x), t.SCRIPTS, " "), "<[^>]*>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;", "''"), ("&amp;", "&")):
+        out = sub(out, entity, char)
+    return f"trim({sub(out, r'[\s\x{A0}]+', ' ')})"
+
+
+def markdown(x: str, limit: int = 16_000) -> str:
+    out = sub(blank(x), t.SCRIPTS, "")
+    for level in range(1, 7):
+        out = sub(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + r" \1" + "\n\n")
+    for pattern, to in t.MARKDOWN_STEPS:
+        out = sub(out, pattern, to.replace("$1", r"\1").replace("$2", r"\2").replace("'", "''"))
+    return f"left(trim({sub(out, r'^\s+|\s+$', '')}), {limit})"
