@@ -80,7 +80,6 @@ _ANY_TAG = re.compile(r"<!--.*?-->|<[^<>]*>", re.S)
 _SCRIPT = re.compile(r"<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
 _LINK = re.compile(r"<a\b[^>]*>(.*?)</a>", re.S | re.I)
 _MD_LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
-_WS = re.compile(r"\s+")
 _END = re.compile(r"[.!?…][\"”“»’'\)\]*_]*(?:\s*[^\w\s.!?]+)?$")
 _INNER_END = re.compile(r"[^\W\d_]{2}[.!?][\"”“»’'\)]* +[\"“„«¿¡]?[^\W\d_]")
 _MARKS = re.compile(r"^(?:#{1,6}\s+|>\s*|[-*+•]\s+|\d+[.)]\s+)+")
@@ -96,8 +95,13 @@ _PHRASES_OF: dict[str, list[int]] = {}
 for _i, _p in enumerate(_PHRASES):
     for _w in _p:
         _PHRASES_OF.setdefault(_w, []).append(_i)
-#: Words of which every stock phrase has so many that a line with three quarters of the phrase holds one of them.
-_TELLING = frozenset(w + end for w in _PHRASES_OF if len(w) >= 5 or w in ("pour", "suit", "dix", "app", "tip", "bei", "aus", "pass", "ans", "chez", "vor", "le") for end in ("", ".", ",", ":", "?"))
+#: Words too usual in prose to hint at a stock phrase.
+_USUAL = frozenset("a an the of on in at to for and or by with from into it is may not us our your you this these what all other there about ever never crowns month independent asked story edition der die das des dem den mit von für aus bei vor und zu zur sie en y la le les du de et il à un une dans el los las sin para con antes pour chez après nadie rien".split())
+#: A line with three quarters of a phrase's words holds one of these (checked below), punctuation attached or not.
+_TELLING_OF = [_p - _USUAL for _p in _PHRASES]
+assert all(4 * len(t) > len(p) for t, p in zip(_TELLING_OF, _PHRASES))
+_TELLING = frozenset(w + end for t in _TELLING_OF for w in t for end in ("", ".", ",", ":", "?"))
+_ROLES: dict[tuple[str, bool], bool] = {}
 
 
 def visible(line: str) -> str:
@@ -141,7 +145,13 @@ def line_role(text: str, heading: bool, own_title: str | None) -> str:
         return "blank"
     if own_title and bare.lower() == own_title:
         return "story"
-    if STOCK_OPENINGS.match(bare) or is_stock(bare):
+    key = (bare, heading)
+    stock = _ROLES.get(key)
+    if stock is None:
+        stock = bool(STOCK_OPENINGS.match(bare)) or is_stock(bare)
+        if stock and len(_ROLES) < 50_000:
+            _ROLES[key] = stock
+    if stock:
         return "furniture"
     if heading:
         return "story"
@@ -245,7 +255,7 @@ def page_roles(text: str | None, title: str | None, is_html: bool) -> list[str]:
     own = visible(title).lower() if title else None
     lines = text.split("\n")
     if not is_html:
-        return [line_role(visible(x) if "&" in x or "<" in x else _WS.sub(" ", x).strip(), False, own) for x in lines]
+        return [line_role(visible(x) if "&" in x or "<" in x else " ".join(x.split()), False, own) for x in lines]
     roles = []
     for shown, density, inside, tag in score_page(lines):
         if not shown:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewire.operators.graph import connected_components
 from tidewire.session import BROADCAST_ROWS, cut_lineage, ship
 
-SYMBOLS = 192
+SYMBOLS = 128
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
