@@ -215,7 +215,7 @@ def em_weights(counts: pd.DataFrame, day_first: bool | None, prior_strength: flo
     return weight
 
 
-def normalise_timestamps(values: DataFrame, feeds: DataFrame, prior_strength: float = 1.0, min_posterior: float = 0.75, rounds: int = 50) -> DataFrame:
+def normalise_timestamps(values: DataFrame, feeds: DataFrame, prior_strength: float = 4.0, min_posterior: float = 0.75, rounds: int = 50) -> DataFrame:
     """One row per value that has any interpretation.
 
     ``values``: rec_table, rec_id, field_name, source_id, value.  ``feeds``: source_id, tz, day_first.
