@@ -68,22 +68,30 @@ def same_event_pairs(stories: DataFrame, window_ms: int = 129_600_000, share: fl
 
     They share at least three title words and half of all, half of their names if both have two, and lie within
     36 hours if both times are known.  Only stories that share a word which is not on too many stories
-    (max(``floor``, ``share`` of all)) are compared; of their shared words the least one joins them, so a pair
-    is compared once.
+    (max(``floor``, ``share`` of all)) are compared, and each pair once; in time they meet in slots one window
+    long, so the wire's length does not add to a word's pairs.
     """
     base = cut_lineage(stories.select("ord", F.coalesce("ts", F.lit(0)).alias("ts"), cluster_words(F.col("title")).alias("words"), entities(F.col("title")).alias("names")))
     exploded = base.select("ord", F.explode("words").alias("w"))
     often = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     total = base.agg(F.count(F.lit(1)).alias("n"))
     telling = often.where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(floor), F.floor(total.scalar() * share))))
-    kept = exploded.join(telling, "w").join(base, "ord")
-    a, b = kept.alias("a"), kept.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.ord") < F.col("b.ord")))
+    # rows meet on (word, time slot); a slot is one window long, so a near pair lies in equal or neighbouring slots;
+    # rows without a time meet every row of the word
+    slot = F.floor(F.col("ts") / window_ms)
+    kept = exploded.join(telling.select("w"), "w").join(base.select("ord", "ts"), "ord")
+    dated = kept.where("ts <> 0")
+    x = dated.select("ord", "w", slot.alias("slot"))
+    y = dated.select(F.col("ord").alias("other"), "w", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    undated = kept.where("ts = 0").select("ord", "w").join(kept.select(F.col("ord").alias("other"), "w"), "w").where("ord <> other")
+    found = x.join(y, ["w", "slot"]).where("ord < other").select("ord", "other").unionByName(undated.select(F.least("ord", "other").alias("ord"), F.greatest("ord", "other").alias("other"))).distinct()
+    a, b = base.alias("a"), base.alias("b")
+    met = found.join(a, F.col("a.ord") == found["ord"]).join(b, F.col("b.ord") == F.col("other"))
     shared = F.size(F.array_intersect("a.words", "b.words"))
     near = (F.col("a.ts") == 0) | (F.col("b.ts") == 0) | (F.abs(F.col("a.ts") - F.col("b.ts")) <= window_ms)
     alike = (shared >= 3) & (jaccard(F.col("a.words"), F.col("b.words")) >= 0.5)
     named = (F.size("a.names") < 2) | (F.size("b.names") < 2) | (jaccard(F.col("a.names"), F.col("b.names")) >= 0.5)
-    return met.where(near & alike & named).select(F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b")).distinct()
+    return met.where(near & alike & named).select(F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"))
 
 
 def cluster_stories(stories: DataFrame) -> DataFrame:

@@ -96,19 +96,23 @@ def new_since(stories: DataFrame, since_ms: int, now_ms: int, gap_ms: int = 600_
 def topic_heat(stories: DataFrame, now_ms: int, window_hours: float = 12, min_shared: int = 2, share: float = 0.25, floor: int = 12) -> DataFrame:
     """id, ord, heat: how many outlets write about the story's topic.
 
-    Two recent stories are of one topic if they share ``min_shared`` words that are not on too many stories.
-    The pairs meet on single words; each pair is reduced to the outlet before the count, so what is shuffled
-    is (story, outlet), not the pairs' texts.  A word is dropped above max(``floor``, ``share`` of the stories).
+    Two recent stories are of one topic if they share ``min_shared`` (2) words that are not on too many stories
+    (a word is dropped above max(``floor``, ``share`` of the stories)).  Stories never meet each other: each
+    emits its pairs of words, the outlets of a pair are made distinct, and a story counts the outlets of all its
+    pairs, so a topic that fills the wire costs its outlets, not its stories squared.
     """
+    if min_shared != 2:
+        raise ValueError("topics are compared on pairs of words")
     recent = stories.where(F.lit(now_ms) - F.coalesce("ts", F.lit(0)) <= int(window_hours * 3_600_000)).select("ord", "id", outlet(F.col("source"), F.col("id")).alias("who"), heat_words(F.col("title")).alias("words"))
     exploded = recent.select("ord", "who", F.explode("words").alias("w"))
     total = recent.agg(F.count(F.lit(1)).alias("n"))
     often = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     telling = often.where(F.col("df") <= F.greatest(F.lit(float(floor)), total.scalar() * share)).select("w")
-    kept = exploded.join(telling, "w")
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.ord") != F.col("b.ord"))).groupBy(F.col("a.ord").alias("ord"), F.col("b.ord").alias("other"), F.col("b.who").alias("who")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared)
-    voices = recent.select("ord", "who").unionByName(pairs.select("ord", "who")).groupBy("ord").agg(F.count_distinct("who").alias("heat"))
+    kept = exploded.join(telling, "w").groupBy("ord", "who").agg(F.array_sort(F.collect_set("w")).alias("ws"))
+    both = F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice("ws", i + 2, F.greatest(F.size("ws") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
+    paired = kept.select("ord", "who", F.explode(both).alias("pair"))
+    heard = paired.select("pair", "who").distinct()
+    voices = recent.select("ord", "who").unionByName(paired.select("ord", "pair").join(heard, "pair").select("ord", "who")).groupBy("ord").agg(F.count_distinct("who").alias("heat"))
     return recent.select("id", "ord").join(voices, "ord")
 
 

@@ -8,13 +8,13 @@ from tidewire.functions import text as t
 from tidewire.operators import archive, extract, weather
 from tidewire.plans.wire import NOW_MS, STORIES_SQL, stories
 from tidewire.queries import query, sqltext as q
-from tidewire.session import table
+from tidewire.session import spread, table
 from tidewire.sources import feeds as feed_source, providers
 
 
 def item_documents(spark, d):
     """Every feed item as an RSS document of its own: feed_id (the item's id), xml."""
-    i = table(spark, d, "rss_items")
+    i = spread(table(spark, d, "rss_items").select("item_id", "title", "link", "guid", "pub_date", "description", "content_encoded", "creator", "categories", "media_contents"))
     data = lambda tag, c: F.concat(F.lit(f"<{tag}><![CDATA["), t.blank(F.col(c)), F.lit(f"]]></{tag}>"))
     cats = F.array_join(F.transform(F.coalesce("categories", F.array().cast("array<string>")), lambda c: F.concat(F.lit("<category>"), F.regexp_replace(c, "&", "&amp;"), F.lit("</category>"))), "")
     media = F.array_join(F.transform(F.filter(F.coalesce("media_contents", F.expr("cast(array() as array<struct<url:string,medium:string,mime_type:string,width:string,height:string>>)")), lambda m: m["url"].isNotNull()), lambda m: F.concat(F.lit('<media:content url="'), m["url"], F.lit('" medium="image"/>'))), "")

@@ -48,3 +48,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("tidewire") / p.relative_to(root))
     sc.addPyFile(str(target))
     sc._tidewire_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer than half as many pieces, as a small single file does.
+
+    Inputs of normal size come in more pieces than there are cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
