@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.session import ship
+from tidewire.session import ship, spread
 
 #: What sites print around stories, without the names they fill in, by language.
 STOCK_PHRASES = """
@@ -290,7 +290,7 @@ def furniture_lines(records: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rec_table": tables, "rec_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
 
     rows = records.where(F.col("body").isNotNull() & (F.length("body") > 0)).select("rec_table", "rec_id", "title", "body", "is_html")
-    return rows.mapInPandas(judge, "rec_table string, rec_id long, line_no int")
+    return spread(rows).mapInPandas(judge, "rec_table string, rec_id long, line_no int")
 
 
 def main_text(records: DataFrame) -> DataFrame:
@@ -308,4 +308,4 @@ def main_text(records: DataFrame) -> DataFrame:
             ]
             yield out
 
-    return records.select("rec_table", "rec_id", "title", "body", "is_html").mapInPandas(strip, "rec_table string, rec_id long, main string")
+    return spread(records.select("rec_table", "rec_id", "title", "body", "is_html")).mapInPandas(strip, "rec_table string, rec_id long, main string")

@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.session import ship
+from tidewire.session import ship, spread
 
 #: Positions of the window that each seed looks at ('1') or ignores ('0').
 MASKS = ("11101011", "11010111")
@@ -135,7 +135,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 15, broadcast_char
                         rows += [(doc_id, i, e, t) for i, (e, t) in own._judge(words, hits, of).items() if t >= min_words]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
 
-        return docs.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(search, schema)
+        return spread(docs.where(F.length("text") > 0).select("doc_id", "text")).mapInPandas(search, schema)
 
     def hashed(step: int):
         def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewire.operators.graph import connected_components
-from tidewire.session import BROADCAST_ROWS, cut_lineage, ship
+from tidewire.session import BROADCAST_ROWS, cut_lineage, ship, spread
 
 SYMBOLS = 128
 _WORD = re.compile(r"[^\W_]+")
@@ -98,7 +98,7 @@ def fingerprints(articles: DataFrame) -> DataFrame:
                     prints.append(own.fingerprint(hashes))
             yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "print": prints})
 
-    return articles.select("row_id", "title", "description", "content").mapInPandas(make, "row_id long, digest binary, print binary")
+    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, print binary")
 
 
 def _equal_symbols(a: str, b: str):

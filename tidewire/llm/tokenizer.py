@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.session import ship
+from tidewire.session import ship, spread
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-splitting pattern of the vocabulary.
@@ -91,7 +91,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", rank
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(encode, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(encode, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
 
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", rank_file: str = RANK_FILE) -> DataFrame:
