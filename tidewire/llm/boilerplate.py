@@ -101,7 +101,7 @@ _USUAL = frozenset("a an the of on in at to for and or by with from into it is m
 _TELLING_OF = [_p - _USUAL for _p in _PHRASES]
 assert all(4 * len(t) > len(p) for t, p in zip(_TELLING_OF, _PHRASES))
 _TELLING = frozenset(w + end for t in _TELLING_OF for w in t for end in ("", ".", ",", ":", "?"))
-_ROLES: dict[tuple[str, bool], bool] = {}
+_STOCK: dict[str, bool] = {}
 
 
 def visible(line: str) -> str:
@@ -118,6 +118,8 @@ def is_stock(text: str, least: float = 0.75, names: int = 14) -> bool:
 
     At most ``names`` words may stand beside those of the phrase.
     """
+    if len(text) > 600:
+        return False
     text = text.lower()
     parts = text.split()
     if len(parts) > 60 or _TELLING.isdisjoint(parts):
@@ -145,21 +147,19 @@ def line_role(text: str, heading: bool, own_title: str | None) -> str:
         return "blank"
     if own_title and bare.lower() == own_title:
         return "story"
-    key = (bare, heading)
-    stock = _ROLES.get(key)
+    prose = _END.search(bare, max(0, len(bare) - 40)) or (len(bare) > 100 and _INNER_END.search(bare))
+    if not prose and not heading:
+        return "furniture"
+    stock = _STOCK.get(bare)
     if stock is None:
         stock = bool(STOCK_OPENINGS.match(bare)) or is_stock(bare)
-        if stock and len(_ROLES) < 50_000:
-            _ROLES[key] = stock
+        if stock and len(_STOCK) < 50_000:
+            _STOCK[bare] = stock
     if stock:
         return "furniture"
-    if heading:
-        return "story"
-    if linked != text and _MARKS.sub("", _MD_LINK.sub("", text)).strip(" .|·–-") == "":
+    if not heading and linked != text and _MARKS.sub("", _MD_LINK.sub("", text)).strip(" .|·–-") == "":
         return "furniture"
-    if _END.search(bare) or (len(bare) > 100 and _INNER_END.search(bare)):
-        return "story"
-    return "furniture"
+    return "story"
 
 
 class _Node:
@@ -180,7 +180,7 @@ def score_page(lines: list[str]) -> list[tuple[str, float, bool, str]]:
         if simple:
             text = " ".join((html.unescape(simple[2]) if "&" in line else simple[2]).split())
             length = len(text)
-            if length >= 25 and _END.search(text):
+            if length >= 25 and _END.search(text, length - 20):
                 points = 1 + text.count(",") + min(length / 100, 3)
                 node.score += points
                 if node.parent is not None:

@@ -30,11 +30,24 @@ from tidewire.operators.graph import connected_components
 from tidewire.session import BROADCAST_ROWS, cut_lineage, ship, spread
 
 SYMBOLS = 128
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-_WORDS: dict[str, int] = {}
+_A = _RNG.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
+_PLACE = _RNG.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Hashes(dict):
+    """Signed 64-bit hashes of words, the first 300,000 of a process remembered."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word) - (1 << 63)
+        if len(self) < 300_000:
+            self[word] = h
+        return h
+
+
+_WORDS = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,30 +60,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def sequences(text: str, width: int = 3) -> np.ndarray:
     """Distinct 64-bit hashes of the sequences of ``width`` words; shorter texts count as one sequence."""
-    ids = []
-    for w in _WORD.findall(text.lower()):
-        h = _WORDS.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(_WORDS) < 300_000:
-                _WORDS[w] = h
-        ids.append(h)
-    if not ids:
+    found = _WORD.findall(text.lower().replace("_", " "))
+    if not found:
         return np.empty(0, np.uint64)
-    words = np.array(ids, dtype=np.uint64)
+    words = np.fromiter(map(_WORDS.__getitem__, found), np.int64, len(found)).view(np.uint64)
     n = max(1, len(words) - width + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(min(width, len(words))):
-        total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    return np.unique(total)
+    total = words[:n] * _PLACE[0]
+    for k in range(1, min(width, len(words))):
+        total += words[k : k + n] * _PLACE[k % 16]
+    return np.unique(_mix(total))
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
     """``SYMBOLS`` symbols of 16 bits."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[i : i + 4096, None] * _A + _B).min(axis=0))
-    return (_mix(least) >> np.uint64(48)).astype(">u2").tobytes()
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(low), 4096):
+        least = np.minimum(least, (low[i : i + 4096, None] * _A + _B).min(axis=0))
+    return (_mix(least.astype(np.uint64)) >> np.uint64(48)).astype(">u2").tobytes()
 
 
 def _joined(pdf: pd.DataFrame) -> Iterator[str]:
