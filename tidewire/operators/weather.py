@@ -78,3 +78,22 @@ def longest_run(hours: DataFrame, good: Column) -> DataFrame:
     marked = hours.where(good).withColumn("island", F.col("step") - F.row_number().over(W.partitionBy("place").orderBy("step")))
     runs = marked.groupBy("place", "island").agg(F.min("step").alias("first_step"), F.count(F.lit(1)).alias("n"))
     return runs.withColumn("_r", F.row_number().over(W.partitionBy("place").orderBy(F.desc("n"), "first_step"))).where("_r = 1").select("place", "first_step", "n")
+
+#: Fixed value: what makes a headline weather news.
+WEATHER_WORDS = r"(?i)\b(?:flash flood|flood(?:ed|ing|s)?|hurricane|tropical storm|tornado|storm surge|severe storm|thunderstorms?|heavy rain|downpour|rainfall|waterspout|wildfire|heat wave|blizzard|weather)\b"
+
+
+def official_coverage(warned: DataFrame, stories: DataFrame, now_ms: int, within_ms: int = 21_600_000) -> DataFrame:
+    """place, event, level, ord, rank: local weather stories of the last hours that name a warned area, pictures first.
+
+    ``warned`` are rows of `warnings` (a short official list); areas are split at ';' and ','.
+    """
+    level = warning_level(F.col("event"), F.col("severity"))
+    areas = warned.select("place", "event", level.alias("level"), F.explode(F.split("areas", "[;,]")).alias("area")).where("level IS NOT NULL")
+    named = areas.withColumn("area", F.lower(F.trim(F.regexp_replace(F.regexp_replace("area", r"\b[A-Z]{2}\b", ""), r"(?i)\b(?:county|inland|coastal|metro|western|eastern|northern|southern)\b", "")))).where(F.length("area") > 3).distinct()
+    local = stories.where((F.col("feed_id") == "local") & F.coalesce("title", F.lit("")).rlike(WEATHER_WORDS) & (F.lit(now_ms) - F.coalesce("ts", F.lit(0)) <= within_ms))
+    words = local.select("ord", "ts", (F.coalesce("image_url", F.lit("")) != "").cast("int").alias("pictured"), F.lower(F.concat_ws(" ", "title", "descr")).alias("said"), F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "descr")), r"[^\p{L}\p{N}]+"))).alias("first"))
+    # areas and stories meet on the area's first word, then the whole name is looked up
+    met = named.withColumn("first", F.regexp_extract("area", r"^([\p{L}\p{N}]+)", 1)).join(words, "first").where(F.contains("said", F.col("area")))
+    each = met.groupBy("place", "event", "level", "ord").agg(F.max("pictured").alias("pictured"), F.max("ts").alias("ts"))
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("place", "event").orderBy(F.desc("pictured"), F.desc("ts"), "ord"))).select("place", "event", "level", "ord", "rank")

@@ -116,3 +116,11 @@ def capped_outlets(spark, d):
 @query("content_thinness")
 def content_thinness(spark, d):
     return table(spark, d, "rss_items").select("item_id", t.thinness(F.col("content_encoded"), F.col("description")).alias("thinness"))
+
+
+@query("page_facts")
+def page_facts(spark, d):
+    from tidewire.operators import pages
+
+    facts = pages.page_facts(table(spark, d, "rss_items").select("item_id", "content_encoded"), "item_id", "content_encoded")
+    return facts.select("item_id", F.length("article").alias("article_chars"), "headline", "image")
