@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewire.functions.text import blank, cluster_words, entities, is_opinion, jaccard, story_url, strip_publisher, title_key
 from tidewire.operators.graph import connected_components
 from tidewire.operators.rank import outlet
-from tidewire.session import cut_lineage, ship
+from tidewire.session import cut_lineage
 
 #: What makes a headline news of a death or an event.
 DEATH = r"(?i)(?<![A-Za-z0-9_])(?:dies|died|has died|passes away|passed away|dead at|death of|found dead|dies at|killed in|slain)(?![A-Za-z0-9_])"
@@ -25,42 +24,31 @@ def _numbered(stories: DataFrame) -> DataFrame:
 def dedupe_stories(stories: DataFrame) -> DataFrame:
     """ord, slot, kept: which stories are one, and which row stands for them.
 
-    Stories fold from left to right: a story joins the slot that last held its page, else the one that last
-    held its title (titles longer than 12 characters), and both keys then point to that slot.  Stories that
-    share no key, directly or over others, never meet, so the fold runs within connected components of shared
-    keys only; a component is what copies of one story make up.  Within a slot the row with an image, then the
-    longer description, then the later time stands (an earlier one on ties).
+    Stories fold from left to right: a story joins the slot that its page was first put in, else the slot of the
+    last story before it with its title (titles longer than 12 characters), else it opens one.  So every story
+    points at one earlier story or at itself, and its slot is the end of that chain; chains are shortened by
+    half each round.  No group of copies is gathered: pages are aggregated, titles look one story back, and the
+    row that stands for a slot (an image, then the longer description, then the later time, the earlier one on
+    ties) is a maximum.
     """
-    ship(stories.sparkSession)
-    keyed = _numbered(stories).select("ord", "node", story_url(F.col("link")).alias("u"), title_key(F.col("title")).alias("t"), (blank(F.col("image_url")) != "").alias("pictured"), F.length(blank(F.col("descr"))).alias("size"), F.coalesce("ts", F.lit(0)).alias("ts"))
+    keyed = stories.select("ord", story_url(F.col("link")).alias("u"), title_key(F.col("title")).alias("t"), (blank(F.col("image_url")) != "").alias("pictured"), F.length(blank(F.col("descr"))).alias("size"), F.coalesce("ts", F.lit(0)).alias("ts"))
     keyed = cut_lineage(keyed.withColumn("u", F.when(F.col("u") != "", F.col("u"))).withColumn("t", F.when(F.length("t") > 12, F.col("t"))))
-    ends = keyed.select("node", F.explode(F.array_compact(F.array(F.concat(F.lit("u "), "u"), F.concat(F.lit("t "), "t")))).alias("k"))
-    heads = ends.groupBy("k").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = connected_components(ends.join(heads, "k").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    linked = keyed.join(groups, "node").select("component", "ord", "u", "t", "pictured", "size", "ts")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_key: dict[tuple[str, str], int] = {}
-        best: list[tuple] = []
-        slots: list[int] = []
-        rows = pdf.sort_values("ord")
-        for r in rows.itertuples():
-            keys = [(k, v) for k, v in (("u", r.u), ("t", r.t)) if v is not None]
-            at = next((by_key[k] for k in keys if k in by_key), None)
-            rank = (r.pictured, r.size, r.ts)
-            if at is None:
-                at = len(best)
-                best.append((rank, r.ord))
-            elif rank > best[at][0]:
-                best[at] = (rank, r.ord)
-            by_key.update((k, at) for k in keys)
-            slots.append(at)
-        first = [rows["ord"].iloc[slots.index(s)] for s in slots]
-        return pd.DataFrame({"ord": rows["ord"], "slot": first, "kept": [best[s][1] == o for s, o in zip(slots, rows["ord"])]})
-
-    folded = linked.groupBy("component").applyInPandas(fold, "ord string, slot string, kept boolean")
-    alone = keyed.join(groups.select("node"), "node", "left_anti").select("ord", F.col("ord").alias("slot"), F.lit(True).alias("kept"))
-    return folded.unionByName(alone)
+    pages = keyed.where("u IS NOT NULL").groupBy("u").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    titles = keyed.where("t IS NOT NULL").select("ord", F.lag("ord").over(W.partitionBy("t").orderBy("ord")).alias("before")).where("before IS NOT NULL")
+    joined = keyed.select("ord", "u").join(pages, "u", "left").join(titles, "ord", "left")
+    known = F.col("first") < F.col("ord")
+    links = cut_lineage(joined.select("ord", F.when(known, F.col("first")).otherwise(F.coalesce("before", "ord")).alias("at")))
+    while True:
+        further = links.select(F.col("ord").alias("at"), F.col("at").alias("next"))
+        moved = cut_lineage(links.where("at <> ord").join(further, "at").select("ord", "next", (F.col("next") != F.col("at")).alias("moved")))
+        roots = links.where("at = ord")
+        links = roots.unionByName(moved.select("ord", F.col("next").alias("at")))
+        if not moved.where("moved").limit(1).count():
+            break
+    slots = links.select("ord", F.col("at").alias("slot")).join(keyed, "ord").select("ord", "slot", F.struct("pictured", "size", "ts").alias("rank"))
+    best = slots.groupBy("slot").agg(F.max("rank").alias("top"))
+    stands = slots.join(best, "slot").where(F.col("rank") == F.col("top")).groupBy("slot").agg(F.min("ord").alias("keeper"))
+    return slots.join(stands, "slot").select("ord", "slot", (F.col("ord") == F.col("keeper")).alias("kept"))
 
 
 def same_event_pairs(stories: DataFrame, window_ms: int = 129_600_000, share: float = 0.08, floor: int = 30) -> DataFrame:

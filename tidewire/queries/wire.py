@@ -102,7 +102,18 @@ def hero_topics(spark, d):
     return rank.cap_topics(hero_list(spark, d).join(base.select("ord", "title"), "ord"))
 
 
-@query("dedupe")
+DEDUPE_SQL = f"""
+WITH RECURSIVE {STORIES_SQL},
+k0 AS (SELECT ord, {q.story_url('link')} AS u, {q.title_key('title')} AS t, coalesce(image_url, '') <> '' AS pictured, length(coalesce(descr, '')) AS size, coalesce(ts, 0) AS ts FROM stories),
+k AS (SELECT ord, nullif(u, '') AS u, CASE WHEN length(t) > 12 THEN t END AS t, pictured, size, ts FROM k0),
+fu AS (SELECT u, min(ord) AS f FROM k WHERE u IS NOT NULL GROUP BY 1), tb AS (SELECT ord, lag(ord) OVER (PARTITION BY t ORDER BY ord) AS b FROM k WHERE t IS NOT NULL),
+p AS (SELECT k.ord, CASE WHEN f < k.ord THEN f ELSE coalesce(b, k.ord) END AS up FROM k LEFT JOIN fu USING (u) LEFT JOIN tb ON tb.ord = k.ord),
+r AS (SELECT ord, up FROM p UNION SELECT r.ord, p.up FROM r JOIN p ON r.up = p.ord),
+s AS (SELECT ord, min(up) AS slot FROM r GROUP BY 1)
+SELECT s.ord, slot, row_number() OVER (PARTITION BY slot ORDER BY pictured DESC, size DESC, ts DESC, s.ord) = 1 AS kept FROM s JOIN k ON k.ord = s.ord"""
+
+
+@query("dedupe", DEDUPE_SQL)
 def dedupe(spark, d):
     return events.dedupe_stories(stories(spark, d))
 
