@@ -69,7 +69,7 @@ def cap_outlets(ranked: DataFrame, caps: list[tuple[str, float]]) -> DataFrame:
     share = F.lit(1.0)
     for i, (_, s) in enumerate(caps):
         share = F.when(F.col("cap") == i, float(s)).otherwise(share)
-    placed = ranked.withColumn("cap", which).withColumn("k", F.row_number().over(W.partitionBy("cap").orderBy("position")))
+    placed = ranked.withColumn("cap", which).withColumn("k", F.row_number().over(W.partitionBy("cap").orderBy("position", "ord")))
     return placed.select("ord", (F.col("cap").isNotNull() & (F.col("k") > F.greatest(F.lit(1), F.floor(share * total)))).alias("capped"))
 
 

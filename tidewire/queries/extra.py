@@ -107,7 +107,12 @@ def library_titles(spark, d):
     return named.groupBy(F.lower("term").alias("key")).agg(F.min_by("term", "ord").alias("term"))
 
 
-@query("capped_outlets")
+@query(
+    "capped_outlets",
+    f"""WITH {STORIES_SQL}, c AS (SELECT ord, coalesce(ts, 0) AS position, CASE WHEN contains(lower(coalesce(source, '')), 'gazette') THEN 0 WHEN contains(lower(coalesce(source, '')), 'signal') THEN 1 END AS cap FROM stories),
+k AS (SELECT ord, cap, row_number() OVER (PARTITION BY cap ORDER BY position, ord) AS k, (SELECT count(*) FROM c) AS n FROM c)
+SELECT ord, cap IS NOT NULL AND k > greatest(1, floor(CASE cap WHEN 0 THEN 0.02 ELSE 0.05 END * n)) AS capped FROM k""",
+)
 def capped_outlets(spark, d):
     ranked = stories(spark, d).select("ord", "source", F.coalesce("ts", F.lit(0)).alias("position"))
     return brief.cap_outlets(ranked, [("gazette", 0.02), ("signal", 0.05)])

@@ -97,16 +97,24 @@ def bylines(spark, d):
     "article_upsert",
     """WITH cur AS (SELECT link, min(title) AS title FROM wire_stories WHERE link IS NOT NULL GROUP BY 1),
 ch AS (SELECT link, title, row_id FROM news_articles WHERE link IS NOT NULL QUALIFY row_number() OVER (PARTITION BY link ORDER BY row_id DESC) = 1)
-SELECT link, title, CAST(NULL AS BIGINT) AS row_id FROM cur WHERE link NOT IN (SELECT link FROM ch) UNION ALL SELECT link, title, row_id FROM ch""",
+SELECT link, title, CAST(-1 AS BIGINT) AS row_id FROM cur WHERE link NOT IN (SELECT link FROM ch) UNION ALL SELECT link, title, row_id FROM ch""",
 )
 def article_upsert(spark, d):
     current = table(spark, d, "wire_stories").where("link IS NOT NULL").groupBy("link").agg(F.min("title").alias("title"))
-    return archive.upsert(current, table(spark, d, "news_articles").select("link", "title", "row_id"), "link", "row_id").select("link", "title", "row_id")
+    return archive.upsert(current, table(spark, d, "news_articles").select("link", "title", "row_id"), "link", "row_id").select("link", "title", F.coalesce("row_id", F.lit(-1).cast("long")).alias("row_id"))
 
 
-@query("archive_records")
+_BODY = f"left(trim({q.sub(q.blank('descr'), r'\s+', ' ')}), 6000)"
+
+
+@query(
+    "archive_records",
+    f"""WITH {STORIES_SQL} SELECT trim(link) AS domain_key, trim(title) AS title, CASE WHEN {_BODY} <> '' THEN {_BODY} ELSE concat(CASE WHEN trim(coalesce(source, '')) <> '' THEN concat(trim(source), ': ') ELSE '' END, trim(title)) END AS content,
+ array_to_string(list_filter(list_transform(list_concat([coalesce(source, ''), concat('feed:', CASE WHEN left(regexp_replace(coalesce(feed_id, 'wire'), '(?i)[^a-z0-9_-]', '', 'g'), 40) <> '' THEN left(regexp_replace(coalesce(feed_id, 'wire'), '(?i)[^a-z0-9_-]', '', 'g'), 40) ELSE 'wire' END), coalesce(badge, ''), coalesce(lang, '')], coalesce(categories, [])[1:3]), lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), '|') AS tags,
+ CASE WHEN ts > 0 THEN ts ELSE 0 END AS event_time FROM stories WHERE regexp_matches(trim(coalesce(link, '')), '(?i)^https?://') AND trim(coalesce(title, '')) <> ''""",
+)
 def archive_records(spark, d):
-    return archive.archive_records(stories(spark, d)).withColumn("tags", F.array_join("tags", "|"))
+    return archive.archive_records(stories(spark, d)).withColumn("tags", F.array_join("tags", "|")).withColumn("event_time", F.coalesce("event_time", F.lit(0).cast("long")))
 
 
 @query(

@@ -198,7 +198,16 @@ def term_hits(spark, d):
 RULES = [{"kind": "boost", "terms": ["battery"]}, {"kind": "trust", "outlet": "Gazette"}, {"kind": "demote", "outlet": "signal"}, {"kind": "mute", "terms": ["podcast"]}, {"kind": "flag", "terms": ["recall"]}]
 
 
-@query("word_rules")
+def _names(term: str) -> str:
+    return f"regexp_matches({HAY}, '(?i)(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])')"
+
+
+@query(
+    "word_rules",
+    f"""WITH {STORIES_SQL} SELECT ord, CAST(CASE WHEN {_names('battery')} THEN 3 ELSE 0 END + CASE WHEN contains(lower(coalesce(source, '')), 'gazette') THEN 2 ELSE 0 END - CASE WHEN contains(lower(coalesce(source, '')), 'signal') THEN 3 ELSE 0 END
+ - CASE WHEN lower(coalesce(source, '')) = 'the quill wire' THEN 4 ELSE 0 END + CASE WHEN list_contains(list_slice(f, 1, 6), 'tribunal') THEN 3 ELSE 0 END - CASE WHEN list_contains(list_slice(f, 1, 6), 'museum') THEN 2 ELSE 0 END AS INTEGER) AS rule_score,
+ {_names('podcast')} AS muted, {_names('recall')} AS flagged FROM (SELECT *, list_filter(regexp_extract_all(lower(coalesce(title, '')), '\\p{{L}}{{4,}}'), lambda x, i: list_position(regexp_extract_all(lower(coalesce(title, '')), '\\p{{L}}{{4,}}'), x) = i) AS f FROM stories) s""",
+)
 def word_rules(spark, d):
     return rank.word_rules(stories(spark, d), RULES, {"the quill wire": -4, "granite report": 1}, {"tribunal": 3, "museum": -2})
 
