@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewire.functions.urls import TRACKING
 from tidewire.llm import boilerplate, history, leakage, neardup, pii, sitelines, tokenizer, truncation
 from tidewire.queries import query
 from tidewire.session import table
@@ -59,7 +60,30 @@ def p3_groups(spark, d):
     return neardup.near_duplicate_groups(table(spark, d, "news_articles"))
 
 
-@query("p5_found")
+P5_SQL = rf"""
+WITH a AS (
+  SELECT -1 AS ord, n.source_id, guid, trim(link, ' ' || chr(10) || chr(9)) AS link, title, coalesce(n.source_name, f.source_name, '') AS outlet FROM news_articles n LEFT JOIN feeds f USING (source_id)
+  UNION ALL SELECT item_id, i.source_id, guid, trim(link, ' ' || chr(10) || chr(9)), title, coalesce(f.source_name, '') FROM rss_items i LEFT JOIN feeds f USING (source_id)),
+b AS (SELECT ord, source_id, nullif(regexp_replace(guid, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'), '') AS guid,
+  regexp_replace(lower(regexp_extract(link, '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^((www\d?|m|mobile|amp)\.)+([^.]+\.)', '\3') AS host,
+  regexp_replace(regexp_extract(link, '^(?i:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(regexp_replace(link, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i:{TRACKING})(=|$)'))) AS pars,
+  regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(lower(outlet), '[\p{{L}}\p{{N}}]+') AS o FROM a),
+c AS (SELECT ord, source_id, guid, CASE WHEN host <> '' THEN concat(host, path, '?', array_to_string(pars, '&')) END AS page,
+  CASE WHEN len(o) > 0 AND len(w) > len(o) AND w[len(w) - len(o) + 1:] = o THEN w[:len(w) - len(o)] ELSE w END AS w FROM b),
+s AS (SELECT list_sort(list_distinct(w)) AS w, min(ord) AS first, max(ord) AS last FROM c WHERE len(w) >= 5 GROUP BY 1),
+sid AS (SELECT row_number() OVER () AS id, * FROM s), x AS (SELECT id, unnest(w) AS t FROM sid),
+pr AS (SELECT p.id AS a, q.id AS b, count(*) AS n FROM x p JOIN x q ON p.t = q.t AND p.id <> q.id GROUP BY 1, 2),
+near AS (SELECT a, min(q.first) AS e FROM pr JOIN sid p ON p.id = a JOIN sid q ON q.id = b WHERE n * 5 >= 4 * (len(p.w) + len(q.w) - n) GROUP BY 1),
+tf AS (SELECT w, least(first, coalesce(e, first)) AS m FROM sid LEFT JOIN near ON a = id)
+SELECT DISTINCT ord AS item_id FROM (
+  SELECT c.ord FROM c JOIN (SELECT source_id, guid, min(ord) AS m FROM c WHERE guid IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2) g ON c.source_id = g.source_id AND c.guid = g.guid WHERE c.ord > m
+  UNION ALL SELECT c.ord FROM c JOIN (SELECT page, min(ord) AS m FROM c WHERE page IS NOT NULL GROUP BY 1) g ON c.page = g.page WHERE c.ord > m
+  UNION ALL SELECT c.ord FROM c JOIN tf ON list_sort(list_distinct(c.w)) = tf.w WHERE len(c.w) >= 5 AND c.ord > m) z
+"""
+
+
+@query("p5_found", P5_SQL)
 def p5_found(spark, d):
     feeds = table(spark, d, "feeds")
     old = history.arrivals(table(spark, d, "news_articles"), feeds, "row_id", True)
@@ -109,7 +133,16 @@ def p7_round_trip(spark, d):
     return docs.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
-@query("p8_found")
+P8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 14)) AS t(k)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 14], ' ') AS g FROM i, unnest(generate_series(1, len(w) - 14)) AS t(k))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
+@query("p8_found", P8_SQL)
 def p8_found(spark, d):
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.where("exact_words >= 15").select("doc_id", "item_id").distinct()
