@@ -64,7 +64,7 @@ def air_band(aqi: Column) -> Column:
 def compass(degrees: Column) -> Column:
     """One of sixteen points."""
     points = F.array(*[F.lit(p) for p in "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split()])
-    return F.element_at(points, (F.pmod(F.floor(degrees / 22.5 + 0.5), F.lit(16)) + 1).cast("int"))
+    return F.when(degrees.isNotNull(), F.get(points, F.pmod(F.floor(degrees / 22.5 + 0.5), F.lit(16)).cast("int")))
 
 
 def moon_phase(ms: Column) -> Column:
@@ -97,3 +97,63 @@ def official_coverage(warned: DataFrame, stories: DataFrame, now_ms: int, within
     met = named.withColumn("first", F.regexp_extract("area", r"^([\p{L}\p{N}]+)", 1)).join(words, "first").where(F.contains("said", F.col("area")))
     each = met.groupBy("place", "event", "level", "ord").agg(F.max("pictured").alias("pictured"), F.max("ts").alias("ts"))
     return each.withColumn("rank", F.row_number().over(W.partitionBy("place", "event").orderBy(F.desc("pictured"), F.desc("ts"), "ord"))).select("place", "event", "level", "ord", "rank")
+
+AIR = "current struct<us_aqi double, pm2_5 double, alder_pollen double, birch_pollen double, grass_pollen double, mugwort_pollen double, olive_pollen double, ragweed_pollen double>"
+MARINE = "now string, forecast struct<forecastday array<struct<hour array<struct<time string, sig_ht_mt double, swell_ht_ft double, swell_dir double, swell_period_secs double, water_temp_f double>>>>>"
+RADAR = "radar struct<past array<struct<time bigint, path string>>, nowcast array<struct<time bigint, path string>>>"
+#: The pollen kinds of the air payload.
+POLLEN = ("alder", "birch", "grass", "mugwort", "olive", "ragweed")
+
+
+def pollen(payloads: DataFrame) -> DataFrame:
+    """place, rank, kind, grains: pollen above zero, most first; nothing where nothing is measured."""
+    j = payloads.select("place", F.from_json("json", AIR).alias("j"))
+    each = j.select("place", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), half_up(F.col(f"j.current.{k}_pollen")).alias("grains")) for k in POLLEN])).alias("p")).select("place", "p.*").where("grains > 0")
+    return each.select("place", F.row_number().over(W.partitionBy("place").orderBy(F.desc("grains"), "kind")).alias("rank"), "kind", "grains")
+
+
+def marine(payloads: DataFrame) -> DataFrame:
+    """place, wave_ft, swell_ft, swell_from, period_s, water_f of the place's current hour, else its first."""
+    j = payloads.select("place", F.from_json("json", MARINE).alias("j"))
+    hours = F.coalesce(F.get(F.col("j.forecast.forecastday"), F.lit(0))["hour"], F.expr("array()").cast("array<struct<time string, sig_ht_mt double, swell_ht_ft double, swell_dir double, swell_period_secs double, water_temp_f double>>"))
+    want = F.left(F.replace(F.coalesce("j.now", F.lit("")), F.lit("T"), F.lit(" ")), F.lit(13))
+    h = F.coalesce(F.get(F.filter(hours, lambda x: F.left(x["time"], F.lit(13)) == want), F.lit(0)), F.get(hours, F.lit(0)))
+    rows = j.select("place", h.alias("h")).where("h.sig_ht_mt IS NOT NULL OR h.swell_ht_ft IS NOT NULL OR h.water_temp_f IS NOT NULL")
+    return rows.select("place", half_up(F.col("h.sig_ht_mt") * 3.28084, 1).alias("wave_ft"), half_up(F.col("h.swell_ht_ft"), 1).alias("swell_ft"), compass(F.col("h.swell_dir")).alias("swell_from"), half_up(F.col("h.swell_period_secs"), 1).alias("period_s"), half_up(F.col("h.water_temp_f")).alias("water_f"))
+
+
+def radar_frames(payloads: DataFrame, most: int = 10) -> DataFrame:
+    """place, step, ms, path: every other valid frame counted back from the newest of the past and of the forecast, the last ``most``."""
+    j = payloads.select("place", F.from_json("json", RADAR).alias("j"))
+    parts = j.select("place", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("j.radar.past").alias("frames")), F.struct(F.lit(1).alias("part"), F.col("j.radar.nowcast").alias("frames")))).alias("p"))
+    good = parts.select("place", "p.part", F.posexplode(F.filter("p.frames", lambda f: f["time"].isNotNull() & f["path"].rlike(r"^/[A-Za-z0-9/_-]+$"))).alias("at", "f"))
+    back = good.withColumn("back", F.row_number().over(W.partitionBy("place", "part").orderBy(F.desc("at")))).where(F.col("back") % 2 == 1)
+    last = back.withColumn("r", F.row_number().over(W.partitionBy("place").orderBy(F.desc("part"), "back"))).where(F.col("r") <= most)
+    return last.select("place", F.row_number().over(W.partitionBy("place").orderBy("part", "at")).alias("step"), (F.col("f.time") * 1000).alias("ms"), F.col("f.path").alias("path"))
+
+
+def nowcast(steps: DataFrame, wet: float = 0.002) -> DataFrame:
+    """place, text: the next hours of rain in words from `rain_steps`; no row without measurements or with one step."""
+    start = F.min(F.to_timestamp("time")).over(W.partitionBy("place"))
+    s = steps.withColumn("ahead", ((F.unix_timestamp(F.to_timestamp("time")) - F.unix_timestamp(start)) / 60).cast("int")).withColumn("wet", F.coalesce(F.col("rain") >= wet, F.lit(False)))
+    g = s.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count("rain").alias("known"), (F.max("ahead") + 15).alias("horizon"), F.min_by("wet", "step").alias("now"), F.min(F.when(F.col("wet"), F.col("ahead"))).alias("starts"), F.min(F.when(~F.col("wet"), F.col("ahead"))).alias("stops"))
+    hours = lambda m: half_up(m / 60.0 * 2) / 2
+    span = lambda m: F.when(m < 60, F.concat(m.cast("string"), F.lit(" minutes"))).when(hours(m) == 1, "1 hour").otherwise(F.concat(F.regexp_replace(hours(m).cast("string"), r"\.0$", ""), F.lit(" hours")))
+    text = (
+        F.when(F.col("starts").isNull(), F.concat(F.lit("No rain expected for the next "), span(F.col("horizon")), F.lit(".")))
+        .when(F.col("now") & F.col("stops").isNull(), F.concat(F.lit("Raining, and it should continue for at least "), span(F.col("horizon")), F.lit(".")))
+        .when(F.col("now"), F.concat(F.lit("Raining now, easing in about "), span(F.col("stops")), F.lit(".")))
+        .otherwise(F.concat(F.lit("Rain likely in about "), span(F.col("starts")), F.lit(".")))
+    )
+    return g.where("n > 1 AND known > 0").select("place", text.alias("text"))
+
+
+def normal_high(days: DataFrame, years: int = 5, least: int = 3) -> DataFrame:
+    """place, date, normal, n: the mean high of the same calendar day in the ``years`` before; at least ``least`` of them known.
+
+    ``days``: place, date (text), high.
+    """
+    d = days.select("place", "date", F.left("date", F.lit(4)).try_cast("int").alias("y"), F.substring("date", 6, 5).alias("md"), "high")
+    past = d.where("high IS NOT NULL").select(F.col("place"), F.col("md"), F.col("y").alias("py"), F.col("high").alias("ph"))
+    met = d.select("place", "date", "y", "md").join(past, ["place", "md"]).where((F.col("py") < F.col("y")) & (F.col("py") >= F.col("y") - years))
+    return met.groupBy("place", "date").agg(half_up(F.avg("ph")).alias("normal"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
