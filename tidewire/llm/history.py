@@ -61,11 +61,8 @@ def pivot_table(rows: DataFrame) -> DataFrame:
     return sets.select(F.xxhash64("words").alias("set_id"), "words", F.size("words").alias("size"), F.aggregate("words", F.lit(0).cast("long"), bit).alias("parity"), "first_ord", "last_ord")
 
 
-def _keys(table: DataFrame, percent: int, larger: bool) -> DataFrame:
-    """The table's rows under the distances of every two groups of pivots, for each bound of the distance.
-
-    ``larger``: the rows as the larger of a pair, else as the smaller (all bounds that a larger partner may have).
-    """
+def _keys(table: DataFrame, percent: int) -> DataFrame:
+    """The table's rows under the distances of every two groups of pivots, for each bound that a partner as large or larger may have."""
     bound = lambda size: F.floor(size * (2 * (100 - percent)) / (100 + percent)).cast("int")
     most = bound(F.floor(F.col("size") * 100 / percent))
     hashed = table.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.explode(F.sequence(bound(F.col("size")), F.greatest(most, bound(F.col("size"))))).alias("bound"))
@@ -73,24 +70,37 @@ def _keys(table: DataFrame, percent: int, larger: bool) -> DataFrame:
     return grouped.select("set_id", "size", "parity", "first_ord", "last_ord", F.explode(F.expr("flatten(transform(sequence(0, bound), i -> transform(sequence(i + 1, bound + 1), j -> xxhash64(bound, i, j, g[i], g[j]))))")).alias("key"))
 
 
+def _verified(pairs: DataFrame, new: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """set_id, earliest: the first arrival among the truly close y of each x of the pairs (x, y)."""
+    known_words = known.select(F.col("set_id").alias("y"), F.col("words").alias("wy"), "first_ord")
+    full = pairs.join(new.select(F.col("set_id").alias("x"), F.col("words").alias("wx")), "x").join(known_words, "y")
+    common = F.size(F.array_intersect("wx", "wy"))
+    return full.where(common * 100 >= percent * (F.size("wx") + F.size("wy") - common)).groupBy(F.col("x").alias("set_id")).agg(F.min("first_ord").alias("earliest"))
+
+
 def close_titles(new: DataFrame, known: DataFrame, percent: int = 80) -> DataFrame:
-    """set_id (of ``new``), earliest: the first arrival among the titles of ``known`` that are close to it.
+    """set_id (of ``new``), earliest: an earlier arrival among the titles of ``known`` that are close to it.
 
-    Both are pivot tables; equal titles are not compared here.
+    Both are pivot tables; equal titles are not compared here, and later arrivals do not matter.  Each title
+    meets the earliest title of each of its keys first; only titles that this shows no repeat meet the rest of
+    their keys, so a group of many copies of an early title costs one comparison a copy and key.
     """
-    n, k = _keys(new, percent, False).alias("n"), _keys(known, percent, False).alias("k")
     reach = (F.col("n.size") + F.col("k.size")) * (100 - percent) / (100 + percent)
-    met = n.join(k, "key").where(
-        (F.col("n.set_id") != F.col("k.set_id"))
-        & (F.col("k.first_ord") < F.col("n.last_ord"))
+    near = (
+        (F.col("k.set_id") != F.col("n.set_id"))
+        & (F.col("k.first_ord") < F.col("n.first_ord"))
         & (F.abs(F.col("n.size") - F.col("k.size")) <= reach)
         & (F.bit_count(F.col("n.parity").bitwiseXOR(F.col("k.parity"))) <= reach)
     )
-    pairs = met.select(F.col("n.set_id").alias("x"), F.col("k.set_id").alias("y")).distinct()
-    known_words = known.select(F.col("set_id").alias("y"), F.col("words").alias("wy"), "first_ord")
-    full = pairs.join(new.select(F.col("set_id").alias("x"), F.col("words").alias("wx")), "x").join(known_words, "y")
-    common = F.size(F.array_intersect("wx", "wy"))
-    return full.where(common * 100 >= percent * (F.size("wx") + F.size("wy") - common)).groupBy(F.col("x").alias("set_id")).agg(F.min("first_ord").alias("earliest"))
+    pair = [F.col("n.set_id").alias("x"), F.col("k.set_id").alias("y")]
+    fresh = new.where("first_ord >= 0")
+    keyed = _keys(known, percent)
+    heads = keyed.groupBy("key").agg(F.min(F.struct("first_ord", "set_id", "size", "parity")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "h.*")
+    stars = _keys(fresh, percent).alias("n").join(heads.alias("k"), "key").where(near).select(*pair).distinct()
+    first = cut_lineage(_verified(stars, fresh, known, percent))
+    loose = fresh.join(first, "set_id", "left_anti")
+    rest = _keys(loose, percent).alias("n").join(keyed.alias("k"), "key").where(near).select(*pair).distinct()
+    return first.unionByName(_verified(rest, loose, known, percent))
 
 
 def _by_key(rows: DataFrame, *keys: str) -> DataFrame:
