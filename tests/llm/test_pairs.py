@@ -60,6 +60,21 @@ def test_hot_block_members_all_meet(spark):
     assert sum(sizes.values()) == 80 and all(n % 2 == 0 for n in sizes.values())
 
 
+def test_borderline_pairs_are_found(spark):
+    """Isolated pairs just at the threshold, and just below it."""
+    made, want = [], set()
+    for i in range(400):
+        a = [f"p{i}x{k}" for k in range(102)]
+        shared = 63 if i % 2 else 62
+        b = a[: shared + 2] + [f"q{i}x{k}" for k in range(100 - shared)]
+        made += [(2 * i, " ".join(a), None, None, None), (2 * i + 1, " ".join(b), None, None, None)]
+        x, y = (set(neardup.sequences(" ".join(t)).tolist()) for t in (a, b))
+        if len(x & y) >= 0.45 * len(x | y):
+            want.add((2 * i, 2 * i + 1))
+    groups = neardup.near_duplicate_groups(spark.createDataFrame(made, ART))
+    assert len(want) == 200 and {(r.row_id_a, r.row_id_b) for r in neardup.group_pairs(groups).collect()} == want
+
+
 FEEDS = "source_id string, source_name string"
 HIST = "row_id long, source_id string, source_name string, title string, link string, guid string, ord long"
 ITEM = "item_id long, source_id string, title string, link string, guid string, words string"

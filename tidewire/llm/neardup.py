@@ -1,11 +1,12 @@
 """Near-duplicate groups by pigeonhole blocks over fingerprints.
 
 The fingerprint of a text is a string of ``SYMBOLS`` minhash symbols over its distinct three-word sequences;
-the share of equal symbols estimates the Jaccard similarity.  The first symbols are split into ``blocks``
-blocks of ``width`` symbols: two fingerprints that differ in fewer symbols than there are blocks must agree
-on one block, and at similarity 0.55 pairs still do with probability 0.997.  Rows are joined on blocks, the
-Hamming distance of the candidates is verified, pairs near the threshold are verified on the sequences
-themselves, and groups close under chains.
+two texts share a symbol with the probability of their Jaccard similarity.  The symbols are split into
+``BLOCKS`` blocks of ``WIDTH`` symbols: a pair at similarity s agrees on no block with probability
+(1 - s ** WIDTH) ** BLOCKS, 5e-6 at the threshold of 0.45 and below 1e-9 at 0.55.  Rows are joined on blocks.
+Candidates that one bit a symbol puts six standard deviations below the threshold (a pair at the threshold
+with probability 2e-9) are dropped, all others are decided on the sequences themselves, and groups close
+under chains.
 
 No group is expanded into all pairs: exact copies are first reduced to one representative; within a block
 every member is compared with the block's first member only, and just the members that this does not link
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewire.operators.graph import connected_components
 from tidewire.session import BROADCAST_ROWS, cut_lineage, ship, spread
 
-SYMBOLS = 128
+BLOCKS, WIDTH = 128, 3
+SYMBOLS = BLOCKS * WIDTH
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -71,13 +73,15 @@ def sequences(text: str, width: int = 3) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def fingerprint(hashes: np.ndarray) -> bytes:
-    """``SYMBOLS`` symbols of 16 bits."""
+def fingerprint(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """The 32-bit key of each block, and the lowest bit of each symbol."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(low), 4096):
-        least = np.minimum(least, (low[i : i + 4096, None] * _A + _B).min(axis=0))
-    return (_mix(least.astype(np.uint64)) >> np.uint64(48)).astype(">u2").tobytes()
+    for i in range(0, len(low), 1024):
+        least = np.minimum(least, (low[i : i + 1024, None] * _A + _B).min(axis=0))
+    symbols = _mix(least.astype(np.uint64))
+    keys = _mix((symbols.reshape(BLOCKS, WIDTH) * _PLACE[:WIDTH]).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
+    return keys.astype(">u4").tobytes(), np.packbits((symbols & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
 def _joined(pdf: pd.DataFrame) -> Iterator[str]:
@@ -89,37 +93,24 @@ def _joined(pdf: pd.DataFrame) -> Iterator[str]:
 
 
 def fingerprints(articles: DataFrame) -> DataFrame:
-    """row_id, digest (of the set of sequences), print; rows without words are left out."""
+    """row_id, digest (of the set of sequences), keys (of the blocks), bits, n (sequences); rows without words are left out."""
     ship(articles.sparkSession)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidewire.llm import neardup as own
 
         for pdf in batches:
-            ids, digests, prints = [], [], []
+            ids, digests, prints, sizes = [], [], [], []
             for row_id, text in zip(pdf["row_id"], own._joined(pdf)):
                 hashes = own.sequences(text)
                 if len(hashes):
                     ids.append(row_id)
                     digests.append(xxhash.xxh128_digest(hashes.tobytes()))
                     prints.append(own.fingerprint(hashes))
-            yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "print": prints})
+                    sizes.append(len(hashes))
+            yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "keys": [k for k, _ in prints], "bits": [b for _, b in prints], "n": pd.Series(sizes, dtype="int32")})
 
-    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, print binary")
-
-
-def _equal_symbols(a: str, b: str):
-    """The number of symbols two prints share (SYMBOLS less their Hamming distance)."""
-
-    @F.pandas_udf("int")
-    def equal(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        left = np.frombuffer(b"".join(x), ">u2").reshape(len(x), -1)
-        right = np.frombuffer(b"".join(y), ">u2").reshape(len(y), -1)
-        return pd.Series((left == right).sum(axis=1).astype("int32"))
-
-    return equal(F.col(a), F.col(b))
+    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, keys binary, bits binary, n int")
 
 
 def _exact(pairs: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
@@ -141,35 +132,37 @@ def _exact(pairs: DataFrame, articles: DataFrame, threshold: float) -> DataFrame
     return joined.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, articles: DataFrame, threshold: float, margin: float) -> DataFrame:
-    """The pairs (a, b) whose Hamming distance, and near the threshold whose sequences, prove them close."""
-    left = prints.select(F.col("row_id").alias("a"), F.col("print").alias("pa"))
-    right = prints.select(F.col("row_id").alias("b"), F.col("print").alias("pb"))
-    share = _equal_symbols("pa", "pb") / float(SYMBOLS)
-    judged = cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", share.alias("share")).where(F.col("share") >= threshold - margin))
-    unsure = judged.where(F.col("share") < threshold + margin).select("a", "b")
-    return judged.where(F.col("share") >= threshold + margin).select("a", "b").unionByName(_exact(unsure, articles, threshold))
+def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sequences reach the threshold; what cannot reach it is dropped before they are read."""
+    words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(SYMBOLS // 64)]
+    side = firsts.select("row_id", "n", F.array(*words).alias("bits"))
+    left, right = (side.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    differ = sum(F.bit_count(F.col("bitsa")[i].bitwiseXOR(F.col("bitsb")[i])) for i in range(SYMBOLS // 64))
+    unlike = (1 - threshold) / 2
+    most = int(SYMBOLS * unlike + 6 * (SYMBOLS * unlike * (1 - unlike)) ** 0.5)
+    able = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    return _exact(cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= most)).select("a", "b")), articles, threshold)
 
 
-def near_duplicate_groups(articles: DataFrame, threshold: float = 0.45, blocks: int = 32, width: int = 3, margin: float = 0.12) -> DataFrame:
+def near_duplicate_groups(articles: DataFrame, threshold: float = 0.45) -> DataFrame:
     """row_id, group_id (its smallest row_id) of every row with words; rows without partner are their own group.
 
     ``articles``: row_id (unique), title, description, content.
     """
     prints = cut_lineage(fingerprints(articles))
-    firsts = prints.groupBy("digest").agg(F.min_by("print", "row_id").alias("print"), F.min("row_id").alias("row_id"))
-    firsts = cut_lineage(firsts.select("row_id", "print"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.xxhash64(i, F.substring(F.col("print"), i * (2 * width) + 1, F.lit(2 * width))))
-    blocked = firsts.select("row_id", F.explode(keys).alias("block"))
-    heads = cut_lineage(blocked.groupBy("block").agg(F.min("row_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "head", "n"))
-    members = cut_lineage(blocked.join(heads, "block").where("row_id <> head"))
+    firsts = prints.groupBy("digest").agg(*(F.min_by(c, "row_id").alias(c) for c in ("keys", "bits", "n")), F.min("row_id").alias("row_id"))
+    firsts = cut_lineage(firsts.select("row_id", "keys", "bits", "n"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("keys"), i * 4 + 1, F.lit(4))))
+    block = W.partitionBy("block")
+    blocked = firsts.select("row_id", F.explode(keys).alias("block")).select("block", "row_id", F.min("row_id").over(block).alias("head"), F.count(F.lit(1)).over(block).alias("n"))
+    members = cut_lineage(blocked.where("n > 1 AND row_id <> head"))
     stars = members.select(F.col("head").alias("a"), F.col("row_id").alias("b")).distinct()
-    linked = cut_lineage(_verified(stars, firsts, articles, threshold, margin))
+    linked = cut_lineage(_verified(stars, firsts, articles, threshold))
     # members their block's head does not link meet the rest of the block
     loose = members.where("n > 2").join(linked.select(F.col("a").alias("head"), F.col("b").alias("row_id")), ["head", "row_id"], "left_anti")
     rest = loose.select("block", F.col("row_id").alias("x")).join(members.select("block", F.col("row_id").alias("y")), "block").where("x <> y")
     more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = linked.unionByName(_verified(more, firsts, articles, threshold, margin))
+    links = linked.unionByName(_verified(more, firsts, articles, threshold))
     groups = connected_components(links)
     heads_of = prints.groupBy("digest").agg(F.min("row_id").alias("first"))
     return (
