@@ -66,6 +66,14 @@ def test_page_roles():
     assert boilerplate.page_roles("x" * 300_000 + ".", None, False) == ["story"]
 
 
+def test_prose_outside_the_container():
+    """Sentences no list knows, in a block beside the container, and a sibling that goes on with the story."""
+    story = "<p>The voluntary regulator surveyed the observatory, and the quarry, to some surprise, stayed shut for weeks.</p>"
+    page = ["<div>", *[story] * 4, "</div>", "<div>", *[story] * 2, "</div>", "<div>", "<p>Our reporter has lived beside the harbour since the spring.</p>", "</div>"]
+    roles = boilerplate.page_roles("\n".join(page), None, True)
+    assert [i for i, r in enumerate(roles, 1) if r == "story"] == [2, 3, 4, 5, 8, 9]
+    assert [i for i, r in enumerate(roles, 1) if r == "furniture"] == [12]
+
 def test_furniture_frames(spark):
     df = spark.createDataFrame([("rss_items", 1, None, None, True, 5), ("rss_items", 2, "t", "", True, 5), ("rss_items", 3, "The Headline", HTML, True, 5), ("rss_items", 3, "The Headline", HTML, True, 5)], "rec_table string, rec_id long, title string, body string, is_html boolean, line_no int")
     assert boilerplate.furniture_lines(df).count() == 8

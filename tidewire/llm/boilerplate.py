@@ -87,6 +87,8 @@ _HEADING = re.compile(r"^#{1,6}\s+\S")
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 #: A line whose only tag holds its whole text, or that has no tag but breaks at its end.
 _SIMPLE = re.compile(r"^(?:<(p|li|blockquote|span|h[1-6])(?:\s[^<>]*)?>)?([^<]*)(?:</\1>)?(?:<br\s*/?>)*\s*$")
+#: A sibling of the best container is story if its prose scores this share of the container's.
+SIBLING_SHARE = 0.2
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr"}
 _BLOCKS = {"p", "div", "li", "td", "th", "blockquote", "span", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dd", "dt", "a", "aside"}
 
@@ -169,6 +171,17 @@ class _Node:
         self.tag, self.parent, self.score, self.text, self.linked = tag, parent, 0.0, 0, 0
 
 
+def _points(text: str) -> float:
+    """What a line of prose is worth before its links are discounted."""
+    return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3) if len(text) >= 25 and _END.search(text) else 0.0
+
+
+def _within(node: "_Node | None", kept: "set[_Node]") -> bool:
+    while node is not None and node not in kept:
+        node = node.parent
+    return node is not None
+
+
 def score_page(lines: list[str]) -> list[tuple[str, float, bool, str]]:
     """(visible text, link density, kept, innermost tag) of each line of a page."""
     root = node = _Node("root", None)
@@ -234,18 +247,22 @@ def score_page(lines: list[str]) -> list[tuple[str, float, bool, str]]:
         holder.linked += linked
         seen.append((text, density, holder, tag))
     best = max(containers, key=lambda n: n.score * (1 - (n.linked / n.text if n.text else 0)))
-    out = []
-    for text, density, holder, tag in seen:
-        up, inside = holder, False
-        while up is not None:
-            if up is best:
-                inside = True
-                break
-            up = up.parent
-        if not inside and text and density < 0.25 and len(text) >= 25 and _END.search(text):
-            inside = True  # prose of its own beside the best container
-        out.append((text, density, inside, tag))
-    return out
+    # siblings of the best container, as wholes: prose that stands up to that of the container, with few links
+    kept = {best}
+    if best.parent is not None:
+        branches: dict[_Node, list[float]] = {}
+        for text, density, holder, tag in seen:
+            up = holder
+            while up is not root and up.parent is not best.parent:
+                up = up.parent
+            if text and up is not root and up is not best:
+                sums = branches.setdefault(up, [0.0, 0.0, 0.0])
+                sums[0] += _points(text) * (1 - density)
+                sums[1] += len(text)
+                sums[2] += len(text) * density
+        own = sum(_points(text) * (1 - density) for text, density, holder, tag in seen if _within(holder, kept))
+        kept |= {n for n, (points, length, linked) in branches.items() if points >= SIBLING_SHARE * own and linked < 0.25 * length}
+    return [(text, density, _within(holder, kept), tag) for text, density, holder, tag in seen]
 
 
 def page_roles(text: str | None, title: str | None, is_html: bool) -> list[str]:
