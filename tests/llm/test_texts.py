@@ -105,6 +105,16 @@ def test_site_lines_against_brute_force(spark):
     assert {(r.length, r.n_docs) for r in sitelines.frequent_sequences(pair, 6, 3)[0].collect()} == {(1, 7), (2, 7)}
 
 
+def test_site_sequences_with_gaps(spark):
+    """A line between others in half of the documents, and sequences longer than three."""
+    docs = [(i, "S", "\n".join(["A", *(["B"] if i % 2 else []), f"own {i}", "C", "D", "E"])) for i in range(12)]
+    found = sitelines.frequent_sequences(spark.createDataFrame(docs, "row_id long, source_name string, content string"))[0].collect()
+    got = {}
+    for r in found:
+        got[r.length, r.n_docs] = got.get((r.length, r.n_docs), 0) + 1
+    # A, C, D, E stand in all twelve, B in six: every choice with and without B
+    assert got == {(1, 12): 4, (1, 6): 1, (2, 12): 6, (2, 6): 4, (3, 12): 4, (3, 6): 6, (4, 12): 1, (4, 6): 4, (5, 6): 1}
+
 def test_tokenizer(spark):
     import tiktoken
 

@@ -104,7 +104,7 @@ SELECT row_id, line_no FROM lines JOIN often USING (source_name, k)
 
 @query("p6_found", P6_SQL)
 def p6_found(spark, d):
-    return sitelines.frequent_sequences(table(spark, d, "news_articles"))[1].select("row_id", "line_no")
+    return sitelines.frequent_lines(table(spark, d, "news_articles"))[1].select("row_id", "line_no")
 
 
 @query("p6_sequences")
@@ -117,7 +117,7 @@ def p6_sequences(spark, d):
 @query("p6_clean")
 def p6_clean(spark, d):
     docs = table(spark, d, "news_articles")
-    return sitelines.strip_lines(docs, sitelines.frequent_sequences(docs)[1])
+    return sitelines.strip_lines(docs, sitelines.frequent_lines(docs)[1])
 
 
 @query("p7_ids")

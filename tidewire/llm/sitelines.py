@@ -3,8 +3,9 @@
 Each document is the sequence of its normalised lines.  Level 1 counts, per source, the documents that hold
 a line (lines are made distinct within a document before the shuffle, so one map-side combined count is
 enough); infrequent lines leave the sequences.  Each further level extends the frequent sequences of the
-level before by the line that follows in the remaining sequence and keeps what enough distinct documents
-share.  Every occurrence of a frequent sequence, single lines included, is deleted.
+level before by every line of the projected suffixes (what follows the first place of the sequence in each
+document, other frequent lines between or not) and keeps what enough distinct documents share, until no
+sequence is frequent.  Every occurrence of a frequent sequence, single lines included, is deleted.
 
 Defined results: null and blank contents have no lines; blank lines and rows without a source do not
 count; a line that stands several times in one document counts once but is reported at each place;
@@ -30,32 +31,41 @@ def _lines(docs: DataFrame) -> DataFrame:
     return keyed.select("row_id", "source_name", "line_no", F.struct(F.xxhash64("key").alias("a"), F.hash("key").alias("b")).alias("line_id"))
 
 
-def frequent_sequences(docs: DataFrame, min_docs: int = 6, max_length: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(sequences, occurrences).
-
-    ``docs``: row_id, source_name, content.  sequences: source_name, length, line_ids, n_docs.
-    occurrences: row_id, source_name, line_no of every line of a frequent sequence.
-    """
+def frequent_lines(docs: DataFrame, min_docs: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(level one of the sequences, its lines: row_id, source_name, line_no, line_id)."""
     lines = _lines(docs)
     level = lines.select("row_id", "source_name", "line_id").distinct().groupBy("source_name", "line_id").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     level = cut_lineage(level)
-    marked = lines.join(level.select("source_name", "line_id"), ["source_name", "line_id"])
+    return level, lines.join(level.select("source_name", "line_id"), ["source_name", "line_id"])
+
+
+def frequent_sequences(docs: DataFrame, min_docs: int = 6, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sequences, occurrences).
+
+    ``docs``: row_id, source_name, content.  sequences: source_name, length, line_ids, n_docs; of every length
+    unless ``max_length`` is given.  occurrences: row_id, source_name, line_no of every line of a frequent sequence.
+    """
+    level, marked = frequent_lines(docs, min_docs)
     found = level.select("source_name", F.lit(1).alias("length"), F.array("line_id").alias("line_ids"), "n_docs")
-    if max_length < 2:
+    if max_length == 1:
         return found, marked.select("row_id", "source_name", "line_no")
-    # the projected database: a document's frequent lines in order (bounded by the lines of one document)
     marked = cut_lineage(marked)
-    sequence = marked.groupBy("source_name", "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id"))), lambda x: x["line_id"]).alias("seq"))
-    prefixes = found.select("source_name", "line_ids")
-    for length in range(2, max_length + 1):
-        windows = F.expr(f"transform(sequence(0, size(seq) - {length}), i -> slice(seq, i + 1, {length}))")
-        grown = sequence.where(F.size("seq") >= length).select("source_name", "row_id", F.explode(F.array_distinct(windows)).alias("line_ids"))
-        if length > 2:
-            grown = grown.withColumn("prefix", F.slice("line_ids", 1, length - 1)).join(prefixes.withColumnRenamed("line_ids", "prefix"), ["source_name", "prefix"], "left_semi")
-        level = grown.groupBy("source_name", "line_ids").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-        level = cut_lineage(level)
-        found = found.unionByName(level.select("source_name", F.lit(length).alias("length"), "line_ids", "n_docs"))
-        prefixes = level.select("source_name", "line_ids")
+    # the projected database: a document's frequent lines in order (bounded by the lines of one document)
+    projected = marked.groupBy("source_name", "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id"))), lambda x: x["line_id"]).alias("suffix"))
+    length = 1
+    after = lambda x: F.slice("suffix", F.array_position("suffix", x).cast("int") + 1, F.size("suffix"))
+    while max_length is None or length <= max_length:
+        steps = F.explode(F.transform(F.array_distinct("suffix"), lambda x: F.struct(x.alias("line_id"), after(x).alias("suffix"))))
+        grown = projected.select("source_name", *([] if length == 1 else ["line_ids"]), steps.alias("step"))
+        ids = F.array("step.line_id") if length == 1 else F.concat("line_ids", F.array("step.line_id"))
+        grown = cut_lineage(grown.select("source_name", ids.alias("line_ids"), F.col("step.suffix").alias("suffix")))
+        level = cut_lineage(grown.groupBy("source_name", "line_ids").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
+        if not level.limit(1).count():
+            break
+        if length > 1:
+            found = found.unionByName(level.select("source_name", F.lit(length).alias("length"), "line_ids", "n_docs"))
+        projected = grown.where(F.size("suffix") > 0).join(level.select("source_name", "line_ids"), ["source_name", "line_ids"], "left_semi")
+        length += 1
     # a sequence is frequent only if each of its lines is, so the places of the frequent lines are all places
     return found, marked.select("row_id", "source_name", "line_no")
 
