@@ -37,6 +37,14 @@ def test_truncated_at_spike(spark):
     assert truncation.find_truncated(df.limit(0)).count() == 0
 
 
+def test_spikes_of_each_table(spark):
+    """A limit of one table shows although the same source's other table holds longer texts."""
+    cut = [("a", i, "s", "d", (f"{i} Full stop here. " + "word " * 80)[:155]) for i in range(20)] + [("a", 100, "s", "d", ("Podcast: " + "x" * 200)[:155])]
+    longer = [("b", 200 + i, "s", "d", "w" * (200 + 3 * i) + ".") for i in range(100)]
+    got = truncation.find_truncated(spark.createDataFrame(cut + longer, V))
+    assert {r.rec_id for r in got.where("evidence = 'spike'").collect()} == set(range(20)) | {100}
+
+
 HTML = """<div class="c-1">
 <span><a href="/x">Sections: Front page, World</a></span>
 <script>var q=1;</script>

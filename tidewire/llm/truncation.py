@@ -1,16 +1,16 @@
 """Finding texts cut off by field limits, and how often each source cuts.
 
-Per source and column the lengths (characters and bytes) are counted; a length that occurs far more often
+Per table, source and column the lengths (characters and bytes) are counted; a length that occurs far more often
 than its neighbours and near the maximum is a spike, the trace of a limit (`length_spikes`).  Texts whose
-length stands at a spike, or in the run-up to the source's limit where it cuts at words, and that end
-without sentence end are cut.  A check of the ending follows for texts away from every spike: an opened
-tag or entity, a mark of omission after an unfinished sentence, or a sentence that simply stops.
+length stands exactly at a spike and that end without sentence end are cut.  A check of the ending, which
+finds most cases, follows for texts away from every spike: an opened tag or entity, a mark of omission after
+an unfinished sentence, a sentence that simply stops, or three words and more without any sentence end.
 
-Only counts per (source, column, length) are gathered, aggregated map-side: their number per source is
+Only counts per (table, source, column, length) are gathered, aggregated map-side: their number per source is
 bounded by the longest field, not by the rows.
 
-Defined results: null, empty and blank texts are never cut; headings, captions, labels and links without
-full stop are complete unless they stand exactly at a spike; very long texts are judged by their whole
+Defined results: null, empty and blank texts are never cut; labels, links and texts of one or two
+words without full stop are complete unless they stand exactly at a spike; very long texts are judged by their whole
 length and last characters; repeated rows are each reported.
 """
 
@@ -79,18 +79,18 @@ def ending(text: str | None) -> str:
 
 
 def length_spikes(values: DataFrame, least_rows: int = 8, factor: float = 6.0, neighbours: int = 6) -> DataFrame:
-    """source_id, column_name, unit ('chars' or 'bytes'), length, n of the length spikes.
+    """rec_table, source_id, column_name, unit ('chars' or 'bytes'), length, n of the length spikes.
 
     A spike holds at least ``least_rows`` rows, ``factor`` times the mean of the lengths around it and, within
-    its own source, no more rows above it than in it (field limits stand at the maximum).
+    its own table and source, no more rows above it than in it (field limits stand at the maximum).
     """
     counts = (
         values.where(F.col("text").isNotNull())
-        .select("source_id", "column_name", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("x"))
-        .groupBy("source_id", "column_name", "x.unit", "x.length")
+        .select("rec_table", "source_id", "column_name", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("x"))
+        .groupBy("rec_table", "source_id", "column_name", "x.unit", "x.length")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    each = W.partitionBy("source_id", "column_name", "unit").orderBy("length")
+    each = W.partitionBy("rec_table", "source_id", "column_name", "unit").orderBy("length")
     around = each.rangeBetween(-neighbours, neighbours)
     above = each.rangeBetween(1, W.unboundedFollowing)
     near = (F.sum("n").over(around) - F.col("n")) / (2.0 * neighbours)
@@ -98,7 +98,7 @@ def length_spikes(values: DataFrame, least_rows: int = 8, factor: float = 6.0, n
         counts.withColumn("near", near)
         .withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
         .where((F.col("n") >= least_rows) & (F.col("n") >= factor * F.greatest("near", F.lit(0.5))) & (F.col("above") <= 2 * F.col("n")))
-        .select("source_id", "column_name", "unit", "length", "n")
+        .select("rec_table", "source_id", "column_name", "unit", "length", "n")
     )
 
 
@@ -111,7 +111,7 @@ def find_truncated(values: DataFrame, **spike_options) -> DataFrame:
     ship(values.sparkSession)
     limits = (
         length_spikes(values, **spike_options)
-        .groupBy("source_id", "column_name")
+        .groupBy("rec_table", "source_id", "column_name")
         .agg(
             F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("at_chars"),
             F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("at_bytes"),
@@ -134,7 +134,7 @@ def find_truncated(values: DataFrame, **spike_options) -> DataFrame:
         judge, f"rec_table string, rec_id {kinds['rec_id']}, source_id string, column_name string, chars int, bytes int, words int, ending string"
     )
     v, s = judged.alias("v"), limits.alias("s")
-    joined = v.join(s, F.col("v.source_id").eqNullSafe(F.col("s.source_id")) & (F.col("v.column_name") == F.col("s.column_name")), "left").select(
+    joined = v.join(s, (F.col("v.rec_table") == F.col("s.rec_table")) & F.col("v.source_id").eqNullSafe(F.col("s.source_id")) & (F.col("v.column_name") == F.col("s.column_name")), "left").select(
         "v.*", (F.coalesce(F.array_contains("s.at_chars", F.col("v.chars")), F.lit(False)) | F.coalesce(F.array_contains("s.at_bytes", F.col("v.bytes")), F.lit(False))).alias("at_spike")
     )
     words = F.col("words")
