@@ -64,29 +64,60 @@ HTML = """<div class="c-1">
 </div>"""
 
 
+PLAIN = boilerplate.Wording()
+SITE = boilerplate.Wording(dict.fromkeys(("covers", "affairs", "joined", "rights", "reserved", "©"), 3.0), -4.0)
+
+
 def test_page_roles():
-    roles = boilerplate.page_roles(HTML, "The Headline", True)
+    roles = boilerplate.page_roles(HTML, "The Headline", True, SITE)
     assert [i for i, r in enumerate(roles, 1) if r == "furniture"] == [2, 8, 15, 16]
     assert [i for i, r in enumerate(roles, 1) if r == "story"] == [6, 7, 9, 10, 11]
     text = "Skip to main content\n\n# Own title\n\nA sentence about cookies on the portal was a complaint.\n- Headline without stop\nOWN TITLE\n## A – B: the numbers\n© 2026 X Ltd. All rights reserved.\nThe panel measured it. It was wtihin the shrinking and the very long sentence that an editor forgot to end with a stop"
-    assert [i for i, r in enumerate(boilerplate.page_roles(text, "Own title", False), 1) if r == "furniture"] == [1, 6, 9]
-    assert boilerplate.page_roles(None, None, True) == [] and boilerplate.page_roles("", "t", False) == []
-    assert boilerplate.page_roles("x" * 300_000 + ".", None, False) == ["story"]
+    assert [i for i, r in enumerate(boilerplate.page_roles(text, "Own title", False, SITE), 1) if r == "furniture"] == [1, 6, 9]
+    assert boilerplate.page_roles(None, None, True, PLAIN) == [] and boilerplate.page_roles("", "t", False, PLAIN) == []
+    assert boilerplate.page_roles("x" * 300_000 + ".", None, False, PLAIN) == ["story"]
 
 
 def test_prose_outside_the_container():
     """Sentences no list knows, in a block beside the container, and a sibling that goes on with the story."""
     story = "<p>The voluntary regulator surveyed the observatory, and the quarry, to some surprise, stayed shut for weeks.</p>"
     page = ["<div>", *[story] * 4, "</div>", "<div>", *[story] * 2, "</div>", "<div>", "<p>Our reporter has lived beside the harbour since the spring.</p>", "</div>"]
-    roles = boilerplate.page_roles("\n".join(page), None, True)
+    roles = boilerplate.page_roles("\n".join(page), None, True, PLAIN)
     assert [i for i, r in enumerate(roles, 1) if r == "story"] == [2, 3, 4, 5, 8, 9]
     assert [i for i, r in enumerate(roles, 1) if r == "furniture"] == [12]
 
+
+def invented(rng, n):
+    """Pages and plain texts of an invented language: sentences of the story, and of a site that nobody listed."""
+    syllable = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(2))
+    story, site = [syllable() + "a" for _ in range(300)], [syllable() + "x" for _ in range(25)]
+    tell = lambda words, k: " ".join(rng.choice(words) for _ in range(k)).capitalize() + "."
+    pages, texts = [], []
+    for i in range(n):
+        own = [tell(story, 18) for _ in range(20)]
+        around = [tell(site, 7) for _ in range(3)]
+        pages.append(("rss_items", i, None, "\n".join(["<div>", *[f"<p>{x}</p>" for x in own], "</div>", "<div>", *[f"<p>{x}</p>" for x in around], "</div>"]), True))
+        texts.append(("news_articles", i, None, "\n".join([tell(story, 18), tell(site, 7), tell(story, 9), tell(site, 9)]), False))
+    return pages, texts
+
+
+def test_the_trees_teach_what_stands_in_plain_texts(spark):
+    pages, texts = invented(random.Random(8), 60)
+    columns = "rec_table string, rec_id long, title string, body string, is_html boolean"
+    wording = boilerplate.learn_wording(spark.createDataFrame(pages, columns))
+    got = rows(boilerplate.furniture_lines(spark.createDataFrame(texts, columns), wording).select("rec_id", "line_no"))
+    assert got == sorted([(i, n) for i in range(60) for n in (2, 4)], key=str)
+    # without trees there is nothing to learn, and finished sentences are story
+    assert not boilerplate.learn_wording(spark.createDataFrame(texts, columns)).weights
+    assert boilerplate.learn_wording(spark.createDataFrame(pages, columns).limit(0)).weights == {}
+    assert boilerplate.furniture_lines(spark.createDataFrame(texts, columns), PLAIN).count() == 0
+
+
 def test_furniture_frames(spark):
     df = spark.createDataFrame([("rss_items", 1, None, None, True, 5), ("rss_items", 2, "t", "", True, 5), ("rss_items", 3, "The Headline", HTML, True, 5), ("rss_items", 3, "The Headline", HTML, True, 5)], "rec_table string, rec_id long, title string, body string, is_html boolean, line_no int")
-    assert boilerplate.furniture_lines(df).count() == 8
-    assert boilerplate.furniture_lines(df.limit(0)).count() == 0
-    main = {r.rec_id: r.main for r in boilerplate.main_text(df).collect()}
+    assert boilerplate.furniture_lines(df, SITE).count() == 8
+    assert boilerplate.furniture_lines(df.limit(0), PLAIN).count() == 0
+    main = {r.rec_id: r.main for r in boilerplate.main_text(df, SITE).collect()}
     assert main[1] is None and main[2] == "" and main[3].count("\n") == 4
 
 

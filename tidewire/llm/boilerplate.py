@@ -1,80 +1,33 @@
-"""Keeping only the main body of pages: tree scoring, then the furniture inside the kept container.
+"""Keeping only the main body of pages: tree scoring, and the wording of what the trees leave outside.
 
 A page (one block per line) is read into a tree.  Every paragraph passes points for its length and commas,
 discounted by its link density, to its parent and half of them to its grandparent; the best container and
-the siblings that hold prose of their own are kept (`score_page`).  Inside the kept part, and in plain or
-markdown texts whose only tree is the text itself, single lines are judged by `line_role`: lines without
-sentence end that are neither headings nor the page's own headline (teasers, bylines, menus), lines that
-are mostly links, and lines made of the words of a site's stock phrases are furniture.
+the siblings that hold prose of their own are kept (`score_page`).  What stands outside them is furniture.
+
+Furniture also stands between the paragraphs of the kept part, and in plain and markdown texts, which have no
+tree.  There lines without sentence end that are neither headings nor the page's own headline (teasers, bylines,
+menus) and lines that are mostly links are furniture; finished sentences and headings are judged by their words.
+`learn_wording` counts, over a bounded sample of pages, in how many sentences inside and outside the kept
+containers each word stands, and a line is furniture if its words are likelier outside.  No phrase is given
+by hand: without the trees there is no wording, and prose counts as story.
 
 Defined results for odd input: null and blank texts have no lines; lines that show no text (tags, script,
-blank) are never reported; very long lines are judged whole; repeated rows are judged each by itself.
+blank) are never reported; very long lines are judged whole; repeated rows are judged each by itself; without
+any page to learn from, finished sentences outside trees are story.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidewire.session import ship, spread
 
-#: What sites print around stories, without the names they fill in, by language.
-STOCK_PHRASES = """
-reproduction without written permission of is prohibited
-this material may not be published broadcast rewritten or redistributed
-is not responsible for the content of external sites
-all rights reserved
-may earn a commission from links on this page
-by continuing to browse you agree to our use of cookies and similar technologies
-support independent reporting become a member of from crowns a month
-sign up for the morning briefing and never miss a story
-download the app for live alerts
-this site needs your consent before it can load embedded media
-like what you read pass it on
-get the day’s headlines in your inbox subscribe to daily
-part of the series on edition
-covers affairs in for and joined the title from
-we use cookies to improve your experience on accept all manage choices
-and its partners store information on your device reject all settings
-wrote minutes ago shame about nobody there ever asked for it
-follow on social media
-share this story with a friend
-send us a tip about this story
-nachdruck nur mit genehmigung von
-alle rechte vorbehalten
-mit der weiteren nutzung stimmen sie dem einsatz von cookies zu
-unterstützen sie unabhängigen journalismus bei
-jeden morgen das wichtigste der newsletter von
-berichtet für aus zuvor bei
-und partner verwenden cookies alle akzeptieren einstellungen
-schrieb vor minuten in wollte das doch keiner
-toute reproduction interdite sans l’accord de
-tous droits réservés
-en poursuivant votre navigation vous acceptez le dépôt de cookies
-soutenez une presse indépendante abonnez-vous à
-recevez chaque matin la lettre de
-suit pour après dix ans chez
-et ses partenaires utilisent des cookies tout accepter personnaliser
-il y a minutes à personne n’avait rien demandé
-prohibida la reproducción sin permiso de
-todos los derechos reservados
-si sigue navegando acepta el uso de cookies
-apoye el periodismo independiente suscríbase a
-reciba cada mañana el boletín de
-cubre para y antes trabajó en
-y sus socios usan cookies aceptar todo configurar
-escribió hace minutos en nadie lo había pedido
-"""
-#: Openings of teaser and furniture lines, whatever follows.
-STOCK_OPENINGS = re.compile(
-    r"^(?:see also|related|read more|more from|more on|most read|you may also like|related stories|advertisement|sponsored|share|follow us|recommended|back to top|skip to"
-    r"|lesen sie auch|mehr zum thema|meistgelesen|anzeige|teilen|à lire aussi|lire aussi|sur le même sujet|les plus lus|partager|publicité|lea también|le puede interesar|lo más leído|compartir|publicidad)\s*[:|–-]",
-    re.I,
-)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w-]*)[^<>]*?(/?)>")
 _ANY_TAG = re.compile(r"<!--.*?-->|<[^<>]*>", re.S)
 _SCRIPT = re.compile(r"<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)", re.S | re.I)
@@ -84,26 +37,54 @@ _END = re.compile(r"[.!?…][\"”“»’'\)\]*_]*(?:\s*[^\w\s.!?]+)?$")
 _INNER_END = re.compile(r"[^\W\d_]{2}[.!?][\"”“»’'\)]* +[\"“„«¿¡]?[^\W\d_]")
 _MARKS = re.compile(r"^(?:#{1,6}\s+|>\s*|[-*+•]\s+|\d+[.)]\s+)+")
 _HEADING = re.compile(r"^#{1,6}\s+\S")
-_WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+|\d+|[©|:]")
 #: A line whose only tag holds its whole text, or that has no tag but breaks at its end.
 _SIMPLE = re.compile(r"^(?:<(p|li|blockquote|span|h[1-6])(?:\s[^<>]*)?>)?([^<]*)(?:</\1>)?(?:<br\s*/?>)*\s*$")
 #: A sibling of the best container is story if its prose scores this share of the container's.
 SIBLING_SHARE = 0.2
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLOCKS = {"p", "div", "li", "td", "th", "blockquote", "span", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "dd", "dt", "a", "aside"}
 
-_PHRASES = [frozenset(_WORD.findall(x)) for x in STOCK_PHRASES.strip().splitlines()]
-_PHRASES_OF: dict[str, list[int]] = {}
-for _i, _p in enumerate(_PHRASES):
-    for _w in _p:
-        _PHRASES_OF.setdefault(_w, []).append(_i)
-#: Words too usual in prose to hint at a stock phrase.
-_USUAL = frozenset("a an the of on in at to for and or by with from into it is may not us our your you this these what all other there about ever never crowns month independent asked story edition der die das des dem den mit von für aus bei vor und zu zur sie en y la le les du de et il à un une dans el los las sin para con antes pour chez après nadie rien".split())
-#: A line with three quarters of a phrase's words holds one of these (checked below), punctuation attached or not.
-_TELLING_OF = [_p - _USUAL for _p in _PHRASES]
-assert all(4 * len(t) > len(p) for t, p in zip(_TELLING_OF, _PHRASES))
-_TELLING = frozenset(w + end for t in _TELLING_OF for w in t for end in ("", ".", ",", ":", "?"))
-_STOCK: dict[str, bool] = {}
+
+
+class Wording:
+    """What the words of a line say: log odds of standing outside the story, summed over its distinct words.
+
+    >>> w = Wording({"cookies": 4.0, "harbour": -2.0}, -1.0)
+    >>> w.is_furniture("We use cookies."), w.is_furniture("The harbour sells cookies and harbour cookies.")
+    (True, True)
+    """
+
+    def __init__(self, weights: dict[str, float] | None = None, bias: float = 0.0):
+        self.weights, self.bias = weights or {}, bias
+        self._known: dict[str, bool] = {}
+
+    def score(self, text: str) -> float:
+        get = self.weights.get
+        return self.bias + sum(get(w, 0.0) for w in words_of(text))
+
+    def is_furniture(self, text: str) -> bool:
+        """Whether the line is likelier outside; short lines, which repeat, are remembered."""
+        if not self.weights:
+            return False
+        if len(text) > 160:
+            return self.score(text) > 0
+        known = self._known.get(text)
+        if known is None:
+            known = self.score(text) > 0
+            if len(self._known) < 50_000:
+                self._known[text] = known
+        return known
+
+
+def words_of(text: str) -> set[str]:
+    """The distinct words of a line, all figures as one, its first word also as such."""
+    found = _WORD.findall(text.lower())
+    words = {"0" if w[0].isdigit() else w for w in found}
+    if found:
+        words.add("^" + found[0])
+    return words
 
 
 def visible(line: str) -> str:
@@ -115,49 +96,29 @@ def visible(line: str) -> str:
     return " ".join(line.split())
 
 
-def is_stock(text: str, least: float = 0.75, names: int = 14) -> bool:
-    """Whether the words of one stock phrase, but for a few typing errors, make up ``text``.
+def _bare(text: str) -> tuple[str, str]:
+    """A line with the texts of its links only, and that without its list, quote and heading marks."""
+    linked = _MD_LINK.sub(r"\1", text) if "](" in text else text
+    return linked, linked if linked[0].isalpha() else _MARKS.sub("", linked).strip()
 
-    At most ``names`` words may stand beside those of the phrase.
-    """
-    if len(text) > 600:
-        return False
-    text = text.lower()
-    parts = text.split()
-    if len(parts) > 60 or _TELLING.isdisjoint(parts):
-        return False
-    words = set(_WORD.findall(text))
-    hits: dict[int, int] = {}
-    for w in words:
-        for i in _PHRASES_OF.get(w, ()):
-            hits[i] = hits.get(i, 0) + 1
-    for i, n in hits.items():
-        size = len(_PHRASES[i])
-        if n >= least * size and n >= min(size, 3) and len(words) - n <= names:
-            return True
-    return False
-
-
-def line_role(text: str, heading: bool, own_title: str | None) -> str:
+
+def _is_prose(bare: str) -> bool:
+    return bool(_END.search(bare, max(0, len(bare) - 40)) or (len(bare) > 100 and _INNER_END.search(bare)))
+
+
+def line_role(text: str, heading: bool, own_title: str | None, wording: Wording) -> str:
     """'blank', 'story' or 'furniture' of one line's visible text."""
     if not text:
         return "blank"
     heading = heading or bool(_HEADING.match(text))
-    linked = _MD_LINK.sub(r"\1", text) if "](" in text else text
-    bare = linked if linked[0].isalpha() else _MARKS.sub("", linked).strip()
+    linked, bare = _bare(text)
     if not bare:
         return "blank"
     if own_title and bare.lower() == own_title:
         return "story"
-    prose = _END.search(bare, max(0, len(bare) - 40)) or (len(bare) > 100 and _INNER_END.search(bare))
-    if not prose and not heading:
+    if not heading and not _is_prose(bare):
         return "furniture"
-    stock = _STOCK.get(bare)
-    if stock is None:
-        stock = bool(STOCK_OPENINGS.match(bare)) or is_stock(bare)
-        if stock and len(_STOCK) < 50_000:
-            _STOCK[bare] = stock
-    if stock:
+    if wording.is_furniture(bare):
         return "furniture"
     if not heading and linked != text and _MARKS.sub("", _MD_LINK.sub("", text)).strip(" .|·–-") == "":
         return "furniture"
@@ -265,14 +226,14 @@ def score_page(lines: list[str]) -> list[tuple[str, float, bool, str]]:
     return [(text, density, _within(holder, kept), tag) for text, density, holder, tag in seen]
 
 
-def page_roles(text: str | None, title: str | None, is_html: bool) -> list[str]:
+def page_roles(text: str | None, title: str | None, is_html: bool, wording: Wording) -> list[str]:
     """The role of each line of a text: 'blank', 'story' or 'furniture'."""
     if not text:
         return []
     own = visible(title).lower() if title else None
     lines = text.split("\n")
     if not is_html:
-        return [line_role(visible(x) if "&" in x or "<" in x else " ".join(x.split()), False, own) for x in lines]
+        return [line_role(visible(x) if "&" in x or "<" in x else " ".join(x.split()), False, own, wording) for x in lines]
     roles = []
     for shown, density, inside, tag in score_page(lines):
         if not shown:
@@ -282,45 +243,110 @@ def page_roles(text: str | None, title: str | None, is_html: bool) -> list[str]:
         elif not inside or density > 0.5:
             roles.append("furniture")
         else:
-            roles.append(line_role(shown, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), own))
+            roles.append(line_role(shown, tag in _HEADINGS, own, wording))
     return roles
 
 
-def furniture_lines(records: DataFrame) -> DataFrame:
+def training_lines(text: str, title: str | None) -> Iterator[tuple[bool, list[str]]]:
+    """(kept by the tree, its words) of each finished sentence and heading of a page."""
+    own = visible(title).lower() if title else None
+    for shown, density, inside, tag in score_page(text.split("\n")):
+        if shown and shown.lower() != own:
+            bare = _bare(shown)[1]
+            if bare and (tag in _HEADINGS or _is_prose(bare)):
+                yield inside and density <= 0.5, sorted(words_of(bare))
+
+
+def fit_wording(lines: Iterable[tuple[bool, list[str]]], least: int = 3, rounds: int = 4, sure: float = 4.0) -> Wording:
+    """Naive Bayes over the words of lines (kept by the tree, words), each counted as often as it is given.
+
+    What trees keep holds some furniture, and what they leave some story: each round, lines whose words are
+    ``sure`` of the other side than the tree change sides before they are counted again.  Words that stand in
+    fewer than ``least`` lines say nothing.
+    """
+    lines = list(lines)
+    wording = Wording()
+    for _ in range(rounds):
+        counts: dict[str, list[int]] = {}
+        totals = [0, 0]
+        for kept, words in lines:
+            score = wording.bias + sum(wording.weights.get(w, 0.0) for w in words)
+            outside = not kept if abs(score) < sure else score > 0
+            totals[outside] += 1
+            for w in words:
+                counts.setdefault(w, [0, 0])[outside] += 1
+        if not totals[1] or not totals[0]:
+            return Wording()
+        weights = {
+            w: log((outside + 0.5) / (totals[1] + 1)) - log((inside + 0.5) / (totals[0] + 1))
+            for w, (inside, outside) in counts.items()
+            if inside + outside >= least
+        }
+        wording = Wording(weights, log(totals[1] / totals[0]))
+    return wording
+
+
+def learn_wording(pages: DataFrame, n_pages: int = 3000) -> Wording:
+    """The wording of what stands outside the stories of ``pages`` (rec_id, title, body in HTML).
+
+    About ``n_pages`` pages, chosen by a hash of their ids and twice as many at most, bound what is gathered:
+    the words of their lines, each line once a page.
+    """
+    ship(pages.sparkSession)
+    some = pages.where(F.col("body").isNotNull() & F.col("body").contains("<"))
+    every = max(1, some.count() // n_pages)
+    picked = some.where(F.pmod(F.xxhash64("rec_id"), F.lit(every)) == 0).select("rec_id", "title", "body").orderBy(F.xxhash64("rec_id"), "rec_id").limit(2 * n_pages)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tidewire.llm.boilerplate import training_lines as lines_of
+
+        for pdf in batches:
+            found = [(kept, " ".join(words)) for body, title in zip(pdf["body"], pdf["title"]) for kept, words in lines_of(body, title)]
+            yield pd.DataFrame({"kept": pd.Series([k for k, _ in found], dtype="bool"), "words": pd.Series([w for _, w in found], dtype="object")})
+
+    return fit_wording((r.kept, r.words.split(" ")) for r in spread(picked).mapInPandas(label, "kept boolean, words string").collect())
+
+
+def furniture_lines(records: DataFrame, wording: Wording) -> DataFrame:
     """rec_table, rec_id, line_no of each visible line outside the story.
 
     ``records``: rec_table, rec_id, title, body, is_html.
     """
     ship(records.sparkSession)
+    weights, bias = wording.weights, wording.bias
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tidewire.llm.boilerplate import page_roles as roles_of
+        from tidewire.llm.boilerplate import Wording as Words, page_roles as roles_of
 
+        words = Words(weights, bias)
         for pdf in batches:
             tables, ids, numbers = [], [], []
             for t, i, title, body, is_html in zip(pdf["rec_table"], pdf["rec_id"], pdf["title"], pdf["body"], pdf["is_html"]):
-                for n, role in enumerate(roles_of(body, title, is_html), 1):
+                for n, role in enumerate(roles_of(body, title, is_html, words), 1):
                     if role == "furniture":
                         tables.append(t)
                         ids.append(i)
                         numbers.append(n)
-            yield pd.DataFrame({"rec_table": tables, "rec_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
+            if ids:
+                yield pd.DataFrame({"rec_table": tables, "rec_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
 
     rows = records.where(F.col("body").isNotNull() & (F.length("body") > 0)).select("rec_table", "rec_id", "title", "body", "is_html")
     return spread(rows).mapInPandas(judge, "rec_table string, rec_id long, line_no int")
 
 
-def main_text(records: DataFrame) -> DataFrame:
+def main_text(records: DataFrame, wording: Wording) -> DataFrame:
     """rec_table, rec_id and ``main``: the visible story lines joined by line breaks ('' if none, null for null)."""
     ship(records.sparkSession)
+    weights, bias = wording.weights, wording.bias
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tidewire.llm.boilerplate import page_roles as roles_of, visible as shown
+        from tidewire.llm.boilerplate import Wording as Words, page_roles as roles_of, visible as shown
 
+        words = Words(weights, bias)
         for pdf in batches:
             out = pdf[["rec_table", "rec_id"]].copy()
             out["main"] = [
-                None if body is None else "\n".join(shown(x) if is_html else x for x, r in zip(body.split("\n"), roles_of(body, title, is_html)) if r == "story")
+                None if body is None else "\n".join(shown(x) if is_html else x for x, r in zip(body.split("\n"), roles_of(body, title, is_html, words)) if r == "story")
                 for title, body, is_html in zip(pdf["title"], pdf["body"], pdf["is_html"])
             ]
             yield out

@@ -1,12 +1,15 @@
-"""Near-duplicate groups by pigeonhole blocks over fingerprints.
+"""Near-duplicate groups by blocks over fingerprints.
 
 The fingerprint of a text is a string of ``SYMBOLS`` minhash symbols over its distinct three-word sequences;
-two texts share a symbol with the probability of their Jaccard similarity.  The symbols are split into
-``BLOCKS`` blocks of ``WIDTH`` symbols: a pair at similarity s agrees on no block with probability
-(1 - s ** WIDTH) ** BLOCKS, 5e-6 at the threshold of 0.45 and below 1e-9 at 0.55.  Rows are joined on blocks.
-Candidates that one bit a symbol puts six standard deviations below the threshold (a pair at the threshold
-with probability 2e-9) are dropped, all others are decided on the sequences themselves, and groups close
-under chains.
+two texts share a symbol with the probability of their Jaccard similarity.  As many blocks of four symbols are
+taken from it, so laid that two blocks have one symbol in common at most, and rows are joined on blocks.  A pair
+shares no block (by simulation) once in 4,000 pairs at the threshold of 0.45 and once in 400,000 at 0.5.
+(A pair at that threshold differs in more than half of its symbols, so no split of a fingerprint into blocks
+has the pigeonhole guarantee.)  Unlike texts of one wire are at a similarity of about 0.006; with blocks of three
+symbols there would be 170 times as many candidates among them, and these grow with the square of the rows.
+
+Candidates whose fingerprints differ in more bits (one a symbol) than a pair at the threshold would but once
+in 500 million are dropped, all others are decided on the sequences themselves, and groups close under chains.
 
 No group is expanded into all pairs: exact copies are first reduced to one representative; within a block
 every member is compared with the block's first member only, and just the members that this does not link
@@ -27,11 +30,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidewire.llm.boilerplate import Wording
 from tidewire.operators.graph import connected_components
 from tidewire.session import BROADCAST_ROWS, cut_lineage, ship, spread
 
-BLOCKS, WIDTH = 128, 3
-SYMBOLS = BLOCKS * WIDTH
+SYMBOLS = 256
+#: A block is the symbols at these distances from its number, around the end; the distances' differences are distinct.
+OFFSETS = (0, 17, 59, 131)
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -73,57 +78,62 @@ def sequences(text: str, width: int = 3) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def fingerprint(hashes: np.ndarray) -> tuple[bytes, bytes]:
+def fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     """The 32-bit key of each block, and the lowest bit of each symbol."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(low), 1024):
         least = np.minimum(least, (low[i : i + 1024, None] * _A + _B).min(axis=0))
     symbols = _mix(least.astype(np.uint64))
-    keys = _mix((symbols.reshape(BLOCKS, WIDTH) * _PLACE[:WIDTH]).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
-    return keys.astype(">u4").tobytes(), np.packbits((symbols & np.uint64(1)).astype(np.uint8)).tobytes()
+    keys = _mix(np.sum([np.roll(symbols, -at) * _PLACE[k] for k, at in enumerate(OFFSETS)], axis=0, dtype=np.uint64)) >> np.uint64(32)
+    return keys.astype(np.uint32).view(np.int32), np.packbits((symbols & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
-def _joined(pdf: pd.DataFrame) -> Iterator[str]:
+def _joined(pdf: pd.DataFrame, wording: Wording) -> Iterator[str]:
     from tidewire.llm.boilerplate import page_roles
 
     for title, description, content in zip(pdf["title"], pdf["description"], pdf["content"]):
-        body = "\n".join(x for x, role in zip(content.split("\n"), page_roles(content, title, False)) if role == "story") if content else ""
+        body = "\n".join(x for x, role in zip(content.split("\n"), page_roles(content, title, False, wording)) if role == "story") if content else ""
         yield "\n".join((title or "", description or "", body))
 
 
-def fingerprints(articles: DataFrame) -> DataFrame:
+def fingerprints(articles: DataFrame, wording: Wording) -> DataFrame:
     """row_id, digest (of the set of sequences), keys (of the blocks), bits, n (sequences); rows without words are left out."""
     ship(articles.sparkSession)
+    weights, bias = wording.weights, wording.bias
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidewire.llm import neardup as own
 
+        words = own.Wording(weights, bias)
         for pdf in batches:
             ids, digests, prints, sizes = [], [], [], []
-            for row_id, text in zip(pdf["row_id"], own._joined(pdf)):
+            for row_id, text in zip(pdf["row_id"], own._joined(pdf, words)):
                 hashes = own.sequences(text)
                 if len(hashes):
                     ids.append(row_id)
                     digests.append(xxhash.xxh128_digest(hashes.tobytes()))
                     prints.append(own.fingerprint(hashes))
                     sizes.append(len(hashes))
-            yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "keys": [k for k, _ in prints], "bits": [b for _, b in prints], "n": pd.Series(sizes, dtype="int32")})
+            if ids:
+                yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "keys": [k for k, _ in prints], "bits": [b for _, b in prints], "n": pd.Series(sizes, dtype="int32")})
 
-    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, keys binary, bits binary, n int")
+    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, keys array<int>, bits binary, n int")
 
 
-def _exact(pairs: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
+def _exact(pairs: DataFrame, articles: DataFrame, wording: Wording, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose sequences reach the threshold."""
     ids = cut_lineage(pairs.select(F.col("a").alias("row_id")).union(pairs.select("b")).distinct())
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    weights, bias = wording.weights, wording.bias
     asked = articles.select("row_id", "title", "description", "content").join(F.broadcast(ids) if small else ids, "row_id", "left_semi")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidewire.llm import neardup as own
 
+        words = own.Wording(weights, bias)
         for pdf in batches:
-            sets = [own.sequences(x).view(np.int64).tolist() for x in own._joined(pdf)]
+            sets = [own.sequences(x).view(np.int64).tolist() for x in own._joined(pdf, words)]
             yield pd.DataFrame({"row_id": pdf["row_id"], "set": sets})
 
     sets = cut_lineage(asked.mapInPandas(make, "row_id long, set array<long>"))
@@ -132,7 +142,7 @@ def _exact(pairs: DataFrame, articles: DataFrame, threshold: float) -> DataFrame
     return joined.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, wording: Wording, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sequences reach the threshold; what cannot reach it is dropped before they are read."""
     words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(SYMBOLS // 64)]
     side = firsts.select("row_id", "n", F.array(*words).alias("bits"))
@@ -141,30 +151,30 @@ def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, threshol
     unlike = (1 - threshold) / 2
     most = int(SYMBOLS * unlike + 6 * (SYMBOLS * unlike * (1 - unlike)) ** 0.5)
     able = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    return _exact(cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= most)).select("a", "b")), articles, threshold)
+    return _exact(cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= most)).select("a", "b")), articles, wording, threshold)
 
 
-def near_duplicate_groups(articles: DataFrame, threshold: float = 0.45) -> DataFrame:
+def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), threshold: float = 0.45) -> DataFrame:
     """row_id, group_id (its smallest row_id) of every row with words; rows without partner are their own group.
 
-    ``articles``: row_id (unique), title, description, content.
+    ``articles``: row_id (unique), title, description, content; ``wording`` tells which finished sentences of a
+    content stand outside its story and are left out.
     """
-    prints = cut_lineage(fingerprints(articles))
-    firsts = prints.groupBy("digest").agg(*(F.min_by(c, "row_id").alias(c) for c in ("keys", "bits", "n")), F.min("row_id").alias("row_id"))
-    firsts = cut_lineage(firsts.select("row_id", "keys", "bits", "n"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("keys"), i * 4 + 1, F.lit(4))))
+    prints = cut_lineage(fingerprints(articles, wording))
+    heads_of = cut_lineage(prints.groupBy("digest").agg(F.min("row_id").alias("first")))
+    firsts = prints.join(heads_of.select(F.col("first").alias("row_id")), "row_id", "left_semi")
+    keyed = firsts.select("row_id", F.posexplode("keys").alias("at", "key")).select("row_id", (F.col("at") * F.lit(1 << 32) + F.col("key")).alias("block"))
     block = W.partitionBy("block")
-    blocked = firsts.select("row_id", F.explode(keys).alias("block")).select("block", "row_id", F.min("row_id").over(block).alias("head"), F.count(F.lit(1)).over(block).alias("n"))
+    blocked = keyed.select("block", "row_id", F.min("row_id").over(block).alias("head"), F.count(F.lit(1)).over(block).alias("n"))
     members = cut_lineage(blocked.where("n > 1 AND row_id <> head"))
     stars = members.select(F.col("head").alias("a"), F.col("row_id").alias("b")).distinct()
-    linked = cut_lineage(_verified(stars, firsts, articles, threshold))
+    linked = cut_lineage(_verified(stars, firsts, articles, wording, threshold))
     # members their block's head does not link meet the rest of the block
     loose = members.where("n > 2").join(linked.select(F.col("a").alias("head"), F.col("b").alias("row_id")), ["head", "row_id"], "left_anti")
     rest = loose.select("block", F.col("row_id").alias("x")).join(members.select("block", F.col("row_id").alias("y")), "block").where("x <> y")
     more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = linked.unionByName(_verified(more, firsts, articles, threshold))
+    links = linked.unionByName(_verified(more, firsts, articles, wording, threshold))
     groups = connected_components(links)
-    heads_of = prints.groupBy("digest").agg(F.min("row_id").alias("first"))
     return (
         prints.select("row_id", "digest")
         .join(heads_of, "digest")

@@ -39,25 +39,30 @@ def bodies(spark, d) -> DataFrame:
     return items.unionByName(articles)
 
 
+def wording(spark, d) -> boilerplate.Wording:
+    """The words of what stands around stories, from the trees of the item pages."""
+    return boilerplate.learn_wording(bodies(spark, d).where("is_html"))
+
+
 @query("p2_found")
 def p2_found(spark, d):
-    return boilerplate.furniture_lines(bodies(spark, d))
+    return boilerplate.furniture_lines(bodies(spark, d), wording(spark, d))
 
 
 @query("p2_main_text")
 def p2_main_text(spark, d):
-    return boilerplate.main_text(bodies(spark, d))
+    return boilerplate.main_text(bodies(spark, d), wording(spark, d))
 
 
 @query("p3_found")
 def p3_found(spark, d):
-    return neardup.group_pairs(neardup.near_duplicate_groups(table(spark, d, "news_articles")))
+    return neardup.group_pairs(neardup.near_duplicate_groups(table(spark, d, "news_articles"), wording(spark, d)))
 
 
 @query("p3_groups")
 def p3_groups(spark, d):
     """One row per article with words: its group."""
-    return neardup.near_duplicate_groups(table(spark, d, "news_articles"))
+    return neardup.near_duplicate_groups(table(spark, d, "news_articles"), wording(spark, d))
 
 
 P5_SQL = rf"""
