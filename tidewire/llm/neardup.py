@@ -8,8 +8,9 @@ shares no block (by simulation) once in 4,000 pairs at the threshold of 0.45 and
 has the pigeonhole guarantee.)  Unlike texts of one wire are at a similarity of about 0.006; with blocks of three
 symbols there would be 170 times as many candidates among them, and these grow with the square of the rows.
 
-Candidates whose fingerprints differ in more bits (one a symbol) than a pair at the threshold would but once
-in 500 million are dropped, all others are decided on the sequences themselves, and groups close under chains.
+Candidates are decided on the Hamming distance of their fingerprints (one bit a symbol) where that is six standard
+deviations from what a pair at the threshold has (wrong once in 500 million), else on the sequences themselves;
+groups close under chains.
 
 No group is expanded into all pairs: exact copies are first reduced to one representative; within a block
 every member is compared with the block's first member only, and just the members that this does not link
@@ -143,15 +144,16 @@ def _exact(pairs: DataFrame, articles: DataFrame, wording: Wording, threshold: f
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, wording: Wording, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sequences reach the threshold; what cannot reach it is dropped before they are read."""
+    """The pairs (a, b) that reach the threshold, by the distance of their fingerprints where it is decisive, else by their sequences."""
     words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(SYMBOLS // 64)]
     side = firsts.select("row_id", "n", F.array(*words).alias("bits"))
     left, right = (side.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
     differ = sum(F.bit_count(F.col("bitsa")[i].bitwiseXOR(F.col("bitsb")[i])) for i in range(SYMBOLS // 64))
-    unlike = (1 - threshold) / 2
-    most = int(SYMBOLS * unlike + 6 * (SYMBOLS * unlike * (1 - unlike)) ** 0.5)
+    unlike = SYMBOLS * (1 - threshold) / 2
+    spread_of = 6 * (unlike * (1 + threshold) / 2) ** 0.5
     able = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    return _exact(cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= most)).select("a", "b")), articles, wording, threshold)
+    near = cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= int(unlike + spread_of))).select("a", "b", (differ < unlike - spread_of).alias("sure")))
+    return near.where("sure").select("a", "b").unionByName(_exact(near.where("NOT sure").select("a", "b"), articles, wording, threshold))
 
 
 def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), threshold: float = 0.45) -> DataFrame:
@@ -161,8 +163,8 @@ def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), thr
     content stand outside its story and are left out.
     """
     prints = cut_lineage(fingerprints(articles, wording))
-    heads_of = cut_lineage(prints.groupBy("digest").agg(F.min("row_id").alias("first")))
-    firsts = prints.join(heads_of.select(F.col("first").alias("row_id")), "row_id", "left_semi")
+    # grouped anew at each use: only the columns used are shuffled, copies fold before the shuffle
+    firsts = prints.groupBy("digest").agg(*(F.min_by(c, "row_id").alias(c) for c in ("keys", "bits", "n")), F.min("row_id").alias("row_id"))
     keyed = firsts.select("row_id", F.posexplode("keys").alias("at", "key")).select("row_id", (F.col("at") * F.lit(1 << 32) + F.col("key")).alias("block"))
     block = W.partitionBy("block")
     blocked = keyed.select("block", "row_id", F.min("row_id").over(block).alias("head"), F.count(F.lit(1)).over(block).alias("n"))
@@ -175,6 +177,7 @@ def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), thr
     more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = linked.unionByName(_verified(more, firsts, articles, wording, threshold))
     groups = connected_components(links)
+    heads_of = prints.groupBy("digest").agg(F.min("row_id").alias("first"))
     return (
         prints.select("row_id", "digest")
         .join(heads_of, "digest")
