@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pytest
 from helpers import rows
 
 from tidewire.llm import history, leakage, neardup, pii
@@ -206,3 +207,73 @@ def test_pii_held_out_accuracy():
     held = pii.training_texts(GIVEN, common, 600, seed=2)
     right = sum(pii.best_segments(pii.candidates(t, model), model) == gold for t, gold in held)
     assert right >= 0.97 * len(held)
+
+
+#: Written by hand, not from the grammar of the training: (text, its details by kind).
+OTHER_SOURCE = [
+    ("Xiomara Quillfeather, 52, said the plan had failed.", {"person_name": ["Xiomara Quillfeather"]}),
+    ("The letter was signed by Karim Haddad, 44, and posted to 12 Orchard Road.", {"person_name": ["Karim Haddad"], "street_address": ["12 Orchard Road"]}),
+    ("Dr. Amara Okonkwo can be reached on +44 20 7946 0123 or a.okonkwo@clinic.example.", {"person_name": ["Amara Okonkwo"], "phone": ["+44 20 7946 0123"], "email": ["a.okonkwo@clinic.example"]}),
+    ("Transfer the deposit to GB82 WEST 1234 5698 7654 32 before Friday.", {"id_number": ["GB82 WEST 1234 5698 7654 32"]}),
+    ("He paid with 4111 1111 1111 1111 at the till; order 4111 1111 1111 1112 was void.", {"id_number": ["4111 1111 1111 1111"]}),
+    ("Write to P.O. Box 44; the Harbour Trust, 40, closed in spring.", {}),
+    ("Frau Annegret von Sallwitz wohnt in der Lindenstraße 8a.", {"person_name": ["Annegret von Sallwitz"], "street_address": ["Lindenstraße 8a"]}),
+    ("“It is late,” Julia Kettering told the council on Monday.", {"person_name": ["Julia Kettering"]}),
+    ("Hurricane Julia reached Port Maddox at 06:30 with 120 km/h winds.", {}),
+    ("Ask for Owen R. Tully at owen [at] tully [dot] example.", {"person_name": ["Owen R. Tully"], "email": ["owen [at] tully [dot] example"]}),
+    ("Mme Solange Périer habite 14 rue des Lilas.", {"person_name": ["Solange Périer"], "street_address": ["14 rue des Lilas"]}),
+    ("Revenue of 4,120,300 crowns in 2024 beat the 3,998,112 of 2023.", {}),
+    ("Her social security number, 219-09-9999, stood in the open.", {"id_number": ["219-09-9999"]}),
+    ("The museum opened Hall 3 to 1,200 visitors.", {}),
+    ("Laut Jörg Aumüller bleibt die Brücke gesperrt.", {"person_name": ["Jörg Aumüller"]}),
+    ("Press office: (212) 555-0147, open on weekdays.", {"phone": ["(212) 555-0147"]}),
+]
+
+
+def test_pii_of_another_source():
+    """Precision and recall over hand-written sentences, half of their names not in the list of given names."""
+    common = ["panel", "report", "season", "morning", "asked", "director", "late", "void", "open", "told"]
+    model = pii.train(pii.training_texts(GIVEN, common, 4000, seed=1), pii.Model(GIVEN, common))
+    found = wanted = both = 0
+    for text, details in OTHER_SOURCE:
+        got = {(kind, text[s:e]) for s, e, kind in pii.best_segments(pii.candidates(text, model), model)}
+        want = {(kind, x) for kind, xs in details.items() for x in xs}
+        found, wanted, both = found + len(got), wanted + len(want), both + len(got & want)
+    assert both >= 0.9 * wanted and both >= 0.9 * found
+
+
+def test_too_many_given_names_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="given names"):
+        pii.fit(docs, spark.createDataFrame([(f"n{i}",) for i in range(12)], "given_name string"), most_names=10)
+
+
+def test_tolerant_recall_against_brute_force():
+    """Passages of 30 words with one substitution in each 8-word block: how many the seeds reach of those that count."""
+    rng = random.Random(3)
+    reached = counted = 0
+    for i in range(400):
+        item = [rng.choice(WORDS) for _ in range(30)]
+        doc = list(item)
+        for start in range(0, 24, 8):
+            doc[start + rng.randrange(8)] = "zz"
+        text = [rng.choice(WORDS) for _ in range(rng.randrange(20))] + doc + [rng.choice(WORDS) for _ in range(9)]
+        shift = next(k for k in range(len(text)) if text[k : k + 30] == doc)
+        # brute force: the comparison along the diagonal from every equal word
+        best = max(leakage.overlap(text, item, shift + k, k)[1] for k in range(30) if doc[k] == item[k])
+        places = {}
+        for h, q in leakage.seeds(item, 1):
+            places.setdefault(h, []).append(q)
+        hits = sorted({(p, 0, q) for h, p in leakage.seeds(text, 8) for q in places.get(h, ())})
+        found = max((t for _, t in leakage._judge(text, hits, {0: item}).values()), default=0)
+        if best >= 15:
+            counted += 1
+            reached += found >= 15
+    assert counted >= 300 and reached >= 0.8 * counted, (reached, counted)
+
+
+def test_short_items_leak_whole(spark):
+    docs = spark.createDataFrame([(1, "He said: ÉTÉ comme hiver, again"), (2, "ete comme"), (3, None), (4, ""), (5, "x " * 50_000 + "ete comme hiver")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Été, comme hiver!"), (2, ""), (3, None), (4, "again"), (5, "w " * 20)], "item_id long, item_text string")
+    assert rows(leakage.short_leaks(docs, items)) == [(1, 1), (1, 4), (5, 1)]
+    assert leakage.short_leaks(docs, items.limit(0)).count() == 0 and leakage.short_leaks(docs.limit(0), items).count() == 0

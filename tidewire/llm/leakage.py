@@ -6,12 +6,16 @@ Items are hashed at every position, documents at every ``stride``-th one, where
 any run of ``min_words`` common words then holds a whole document window.  Where a document's and an item's
 hashes meet, the words around the hit are compared along the diagonal, exactly and with substitutions.
 
+Items shorter than ``min_words`` words leak if they stand whole in a document: they are hashed by their first and
+last words, and looked up at every position (`short_leaks`).
+
 The items' hashes go to the executors only behind a check of the items' size (held-out sets are of fixed
-size); larger sets are joined on the hashes (`leaks(..., broadcast_chars=0)` forces that way).
+size); larger sets are joined on the hashes (`leaks(..., broadcast_chars=0)` forces that way).  There a row is a
+window: its seed, its place and the words around it, so neither side's texts are sent along with each hit.
 
-Defined results: null, empty and blank texts hold no passage; items shorter than ``min_words`` words cannot
-leak; very long texts are searched whole; repeated documents and items are each reported; a document that
-holds a passage twice reports its longest run.
+Defined results: null, empty and blank texts hold no passage; items without words cannot leak; very long texts
+are searched whole; repeated documents and items are each reported; a document that holds a passage twice
+reports its longest run; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.session import ship, spread
+from tidewire.session import BROADCAST_ROWS, cut_lineage, ship, spread
 
 #: Positions of the window that each seed looks at ('1') or ignores ('0').
 MASKS = ("11101011", "11010111")
@@ -137,35 +141,68 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 15, broadcast_char
 
         return spread(docs.where(F.length("text") > 0).select("doc_id", "text")).mapInPandas(search, schema)
 
+    # both sides as windows: (seed, id, place), joined on the seed; hits of one diagonal are one candidate
     def hashed(step: int):
         def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from tidewire.llm import leakage as own
 
             for pdf in batches:
-                rows = [(i, h) for i, text in zip(pdf["id"], pdf["text"]) for h in {h for h, _ in own.seeds(own.words_of(text), step)}]
-                yield pd.DataFrame(rows, columns=["id", "seed"])
+                rows = [(i, p, h) for i, text in zip(pdf["id"], pdf["text"]) for h, p in own.seeds(own.words_of(text), step)]
+                yield pd.DataFrame(rows, columns=["id", "at", "seed"])
 
         return make
 
     texts_of_docs = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("id"), "text")
     texts_of_items = known.select(F.col("item_id").alias("id"), F.col("item_text").alias("text"))
-    d = texts_of_docs.mapInPandas(hashed(stride), "id long, seed long").withColumnRenamed("id", "doc_id")
-    i = texts_of_items.mapInPandas(hashed(1), "id long, seed long").withColumnRenamed("id", "item_id")
-    pairs = d.join(i, "seed").select("doc_id", "item_id").distinct()
+    d = texts_of_docs.mapInPandas(hashed(stride), "id long, at int, seed long").select(F.col("id").alias("doc_id"), F.col("at").alias("p"), "seed")
+    i = texts_of_items.mapInPandas(hashed(1), "id long, at int, seed long").select(F.col("id").alias("item_id"), F.col("at").alias("q"), "seed")
+    # a document meets an item once: its hits in order, at most one a document window and item place
+    hits = d.join(i, "seed").groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set(F.struct("p", "q"))).alias("hits"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidewire.llm import leakage as own
 
         for pdf in batches:
             rows = []
-            for doc_id, item_id, text, item_text in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item_text"]):
+            for doc_id, item_id, text, item_text, places in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item_text"], pdf["hits"]):
                 words, item = own.words_of(text), own.words_of(item_text)
-                at: dict[int, list[int]] = {}
-                for h, q in own.seeds(item, 1):
-                    at.setdefault(h, []).append(q)
-                hits = sorted({(p, item_id, q) for h, p in own.seeds(words, stride) for q in at.get(h, ())})
-                rows += [(doc_id, item_id, e, t) for _, (e, t) in own._judge(words, hits, {item_id: item}).items() if t >= min_words]
+                rows += [(doc_id, item_id, e, t) for _, (e, t) in own._judge(words, [(x["p"], item_id, x["q"]) for x in places], {item_id: item}).items() if t >= min_words]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
 
-    full = pairs.join(docs.select("doc_id", "text"), "doc_id").join(known, "item_id").select("doc_id", "item_id", "text", "item_text")
+    full = hits.join(docs.select("doc_id", "text"), "doc_id").join(known, "item_id").select("doc_id", "item_id", "text", "item_text", "hits")
     return full.mapInPandas(verify, schema)
+
+
+def short_leaks(docs: DataFrame, items: DataFrame, min_words: int = 15) -> DataFrame:
+    """doc_id, item_id of every document that holds a whole item of fewer than ``min_words`` words.
+
+    The items' texts, joined by single blanks, are compared as keys: a document offers its sequences of the lengths
+    that occur among the items, which are fewer than ``min_words``.
+    """
+    ship(docs.sparkSession)
+
+    def text_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tidewire.llm import leakage as own
+
+        for pdf in batches:
+            rows = [(i, len(w), " ".join(w)) for i, w in zip(pdf["item_id"], map(own.words_of, pdf["item_text"])) if 0 < len(w) < min_words]
+            yield pd.DataFrame(rows, columns=["item_id", "size", "passage"])
+
+    short = cut_lineage(items.where(F.col("item_text").isNotNull()).select("item_id", "item_text").mapInPandas(text_key, "item_id long, size int, passage string"))
+    sizes = sorted(r[0] for r in short.select("size").distinct().collect())
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tidewire.llm import leakage as own
+
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                words = own.words_of(text)
+                rows += [(doc_id, x) for x in {" ".join(words[k : k + n]) for n in sizes for k in range(len(words) - n + 1)}]
+            yield pd.DataFrame(rows, columns=["doc_id", "passage"])
+
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    held = docs.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(runs, "doc_id long, passage string")
+    small = short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return held.join(F.broadcast(short) if small else short, "passage").select("doc_id", "item_id").distinct()

@@ -153,6 +153,25 @@ def p8_found(spark, d):
     return found.where("exact_words >= 15").select("doc_id", "item_id").distinct()
 
 
+@query("p8_tolerant")
+def p8_tolerant(spark, d):
+    """Passages with substituted words: their longest exact run and their length with one substitution in eight words."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("exact_words < 15")
+
+
+P8_SHORT_SQL = r"""
+WITH d AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'), ' '), ' ') AS t FROM documents WHERE text <> ''),
+i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL)
+SELECT doc_id, item_id FROM d JOIN i ON len(w) BETWEEN 1 AND 14 AND contains(t, concat(' ', array_to_string(w, ' '), ' '))
+"""
+
+
+@query("p8_short", P8_SHORT_SQL)
+def p8_short(spark, d):
+    """Items of fewer than 15 words that stand whole in a document."""
+    return leakage.short_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 @query("p8_items")
 def p8_items(spark, d):
     """Which test items leaked, into how many documents, exactly or with substituted words."""
