@@ -1,4 +1,5 @@
 import random
+import shutil
 from itertools import combinations
 
 import pytest
@@ -130,9 +131,16 @@ def test_repeats_against_brute_force(spark, tmp_path):
     # batch after batch against the stored table
     path = str(tmp_path / "table")
     found = set()
-    history.append_batch(spark, path, o.withColumn("ord", o.ord))
+    history.append_batch(path, o, "old")
     for lo, hi in ((0, 60), (60, 130), (130, 1000)):
-        found |= {r.id for r in history.append_batch(spark, path, history.arrivals(items.where(f"item_id >= {lo} AND item_id < {hi}"), feeds, "item_id", False)).collect()}
+        batch = history.arrivals(items.where(f"item_id >= {lo} AND item_id < {hi}"), feeds, "item_id", False)
+        mine = {r.id for r in history.check_batch(spark, path, batch, f"b{lo}").collect()}
+        found |= mine
+    # a batch that is delivered again replaces itself, and one without mark does not count
+    assert {r.id for r in history.check_batch(spark, path, batch, "b130").collect()} == mine
+    history.append_batch(path, batch, "half")
+    shutil.rmtree(f"{path}/marks/of=half")
+    assert {r.id for r in history.judge(spark, path, batch, "b130").collect()} == mine
     assert found == want
 
 

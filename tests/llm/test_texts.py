@@ -45,6 +45,23 @@ def test_spikes_of_each_table(spark):
     assert {r.rec_id for r in got.where("evidence = 'spike'").collect()} == set(range(20)) | {100}
 
 
+def test_run_up_below_a_word_limit(spark):
+    """Texts cut at the last whole word before 120 characters: no length repeats often, all stand just below it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 11)))
+    cut = []
+    for i in range(60):
+        text = "One is done. "
+        while len(text) <= 120:
+            text += word() + " "
+        cut.append(("t", i, "s", "d", text[:120].rsplit(" ", 1)[0]))
+    fine = [("t", 100 + i, "s", "d", ("word " * rng.randrange(4, 60)).strip() + ".") for i in range(60)]
+    loose = [("t", 200, "s", "d", "One is done. It was"), ("t", 201, None, "d", "One is done. It was")]
+    got = {r.rec_id: r.evidence for r in truncation.find_truncated(spark.createDataFrame(cut + fine + loose, V)).collect()}
+    assert set(got) == set(range(60)) | {200, 201} and got[200] == got[201] == "stops"
+    assert sum(e == "run_up" for e in got.values()) >= 50
+
+
 HTML = """<div class="c-1">
 <span><a href="/x">Sections: Front page, World</a></span>
 <script>var q=1;</script>

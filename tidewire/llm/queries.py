@@ -25,12 +25,12 @@ def p1_found(spark, d):
 def p1_sources(spark, d):
     """Each source's share of cut texts, by table."""
     values = descriptions(spark, d)
-    cut = truncation.find_truncated(values).groupBy("rec_table", "source_id").agg(F.count(F.lit(1)).alias("n_cut"), F.count_if(F.col("evidence") == "spike").alias("n_at_spike"))
+    cut = truncation.find_truncated(values).groupBy("rec_table", "source_id").agg(F.count(F.lit(1)).alias("n_cut"), F.count_if(F.col("evidence") == "spike").alias("n_at_spike"), F.count_if(F.col("evidence") == "run_up").alias("n_in_run_up"))
     every = values.groupBy("rec_table", "source_id").agg(F.count("text").alias("n_texts"))
     c, e = cut.alias("c"), every.alias("e")
     joined = e.join(c, (F.col("e.rec_table") == F.col("c.rec_table")) & F.col("e.source_id").eqNullSafe(F.col("c.source_id")), "left")
     n = F.coalesce("c.n_cut", F.lit(0))
-    return joined.select("e.rec_table", "e.source_id", "e.n_texts", n.alias("n_cut"), F.coalesce("c.n_at_spike", F.lit(0)).alias("n_at_spike"), F.when(F.col("e.n_texts") > 0, F.round(n / F.col("e.n_texts"), 6)).alias("share"))
+    return joined.select("e.rec_table", "e.source_id", "e.n_texts", n.alias("n_cut"), F.coalesce("c.n_at_spike", F.lit(0)).alias("n_at_spike"), F.coalesce("c.n_in_run_up", F.lit(0)).alias("n_in_run_up"), F.when(F.col("e.n_texts") > 0, F.round(n / F.col("e.n_texts"), 6)).alias("share"))
 
 
 def bodies(spark, d) -> DataFrame:

@@ -51,15 +51,18 @@ def frequent_sequences(docs: DataFrame, min_docs: int = 6, max_length: int | Non
         return found, marked.select("row_id", "source_name", "line_no")
     marked = cut_lineage(marked)
     # the projected database: a document's frequent lines in order (bounded by the lines of one document)
-    projected = marked.groupBy("source_name", "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id"))), lambda x: x["line_id"]).alias("suffix"))
+    ordered = marked.groupBy("source_name", "row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id"))), lambda x: x["line_id"]).alias("suffix"))
+    # documents of one suffix are one row with their number, at every level
+    projected = ordered.groupBy("source_name", "suffix").agg(F.count(F.lit(1)).alias("n"))
     length = 1
     after = lambda x: F.slice("suffix", F.array_position("suffix", x).cast("int") + 1, F.size("suffix"))
     while max_length is None or length <= max_length:
         steps = F.explode(F.transform(F.array_distinct("suffix"), lambda x: F.struct(x.alias("line_id"), after(x).alias("suffix"))))
-        grown = projected.select("source_name", *([] if length == 1 else ["line_ids"]), steps.alias("step"))
+        grown = projected.select("source_name", "n", *([] if length == 1 else ["line_ids"]), steps.alias("step"))
         ids = F.array("step.line_id") if length == 1 else F.concat("line_ids", F.array("step.line_id"))
-        grown = cut_lineage(grown.select("source_name", ids.alias("line_ids"), F.col("step.suffix").alias("suffix")))
-        level = cut_lineage(grown.groupBy("source_name", "line_ids").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
+        grown = grown.select("source_name", ids.alias("line_ids"), F.col("step.suffix").alias("suffix"), "n")
+        grown = cut_lineage(grown.groupBy("source_name", "line_ids", "suffix").agg(F.sum("n").alias("n")))
+        level = cut_lineage(grown.groupBy("source_name", "line_ids").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs))
         if not level.limit(1).count():
             break
         if length > 1:

@@ -2,9 +2,11 @@
 
 Per table, source and column the lengths (characters and bytes) are counted; a length that occurs far more often
 than its neighbours and near the maximum is a spike, the trace of a limit (`length_spikes`).  Texts whose
-length stands exactly at a spike and that end without sentence end are cut.  A check of the ending, which
-finds most cases, follows for texts away from every spike: an opened tag or entity, a mark of omission after
-an unfinished sentence, a sentence that simply stops, or three words and more without any sentence end.
+length stands exactly at a spike and that end without sentence end are cut.  A source that cuts at the last whole
+word before its limit leaves no spike but a run-up: its unfinished texts crowd in the few lengths below the limit
+and none is longer (`length_run_ups`).  A check of the ending follows for texts away from both: an opened tag or
+entity, a mark of omission after an unfinished sentence, a sentence that simply stops, or three words and more
+without any sentence end.
 
 Only counts per (table, source, column, length) are gathered, aggregated map-side: their number per source is
 bounded by the longest field, not by the rows.
@@ -18,12 +20,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidewire.session import ship
+from tidewire.session import cut_lineage, ship
 
 #: What readers are told to click after a cut.
 MORE = r"(?:read more|read the full story|read on|continue reading|more|full story|weiterlesen|mehr lesen|mehr|lire la suite|lire plus|la suite|suite|leer más|seguir leyendo|sigue leyendo|más)"
@@ -102,46 +103,58 @@ def length_spikes(values: DataFrame, least_rows: int = 8, factor: float = 6.0, n
     )
 
 
+def length_run_ups(unfinished: DataFrame, width: int = 16, least_rows: int = 8, factor: float = 3.0, beyond: float = 0.02) -> DataFrame:
+    """rec_table, source_id, column_name, low, high: the lengths below a limit that is cut to at word ends.
+
+    ``unfinished``: rec_table, source_id, column_name, chars of the texts without sentence end.  The ``width`` lengths
+    up to ``high`` hold at least ``least_rows`` of them, ``factor`` times as many as the ``width`` lengths below, and
+    at most the share ``beyond`` of them is longer.
+    """
+    counts = unfinished.groupBy("rec_table", "source_id", "column_name", "chars").agg(F.count(F.lit(1)).alias("n"))
+    each = W.partitionBy("rec_table", "source_id", "column_name").orderBy("chars")
+    total = lambda lo, hi: F.coalesce(F.sum("n").over(each.rangeBetween(lo, hi)), F.lit(0))
+    held, below, above = total(1 - width, 0), total(1 - 2 * width, -width), total(1, W.unboundedFollowing)
+    at = counts.select("*", held.alias("held"), below.alias("below"), above.alias("above"))
+    limits = at.where((F.col("held") >= least_rows) & (F.col("held") >= factor * F.greatest("below", F.lit(1))) & (F.col("above") <= beyond * F.col("held")))
+    return limits.groupBy("rec_table", "source_id", "column_name").agg(F.max_by("chars", F.struct("held", "chars")).alias("high")).withColumn("low", F.col("high") - width + 1)
+
+
 def find_truncated(values: DataFrame, **spike_options) -> DataFrame:
     """rec_table, rec_id, source_id, column_name, evidence of each cut text.
 
-    ``values``: rec_table, rec_id, source_id, column_name, text.  evidence: 'spike' (at a limit, without
-    sentence end), 'marked', 'broken_markup', 'stops' or 'fragment'.
+    ``values``: rec_table, rec_id, source_id, column_name, text.  evidence: 'spike' (at a limit, without sentence end),
+    'run_up' (unfinished, at the last whole word before a limit), 'marked', 'broken_markup', 'stops' or 'fragment'.
     """
     ship(values.sparkSession)
+    keys = ["rec_table", "source_id", "column_name"]
     limits = (
         length_spikes(values, **spike_options)
-        .groupBy("rec_table", "source_id", "column_name")
+        .groupBy(*keys)
         .agg(
             F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("at_chars"),
             F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("at_bytes"),
         )
     )
-    kinds = dict(values.dtypes)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def ending_of(texts: pd.Series) -> pd.Series:
         from tidewire.llm.truncation import ending as of
 
-        for pdf in batches:
-            out = pdf[["rec_table", "rec_id", "source_id", "column_name"]].copy()
-            out["chars"] = [0 if x is None else len(x) for x in pdf["text"]]
-            out["bytes"] = [0 if x is None else len(x.encode()) for x in pdf["text"]]
-            out["words"] = [0 if x is None else len(x.split()) for x in pdf["text"]]
-            out["ending"] = [of(x) for x in pdf["text"]]
-            yield out[~out["ending"].isin(["blank", "complete"])]
+        return pd.Series([of(x) for x in texts], dtype=object)
 
-    judged = values.select("rec_table", "rec_id", "source_id", "column_name", "text").mapInPandas(
-        judge, f"rec_table string, rec_id {kinds['rec_id']}, source_id string, column_name string, chars int, bytes int, words int, ending string"
-    )
-    v, s = judged.alias("v"), limits.alias("s")
-    joined = v.join(s, (F.col("v.rec_table") == F.col("s.rec_table")) & F.col("v.source_id").eqNullSafe(F.col("s.source_id")) & (F.col("v.column_name") == F.col("s.column_name")), "left").select(
-        "v.*", (F.coalesce(F.array_contains("s.at_chars", F.col("v.chars")), F.lit(False)) | F.coalesce(F.array_contains("s.at_bytes", F.col("v.bytes")), F.lit(False))).alias("at_spike")
-    )
-    words = F.col("words")
+    sized = values.select("rec_table", "rec_id", "source_id", "column_name", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.size(F.split(F.trim("text"), r"\s+")).alias("words"), ending_of("text").alias("ending"))
+    judged = cut_lineage(sized.where("ending NOT IN ('blank', 'complete')"))
+    runs = length_run_ups(judged.where("ending IN ('stops', 'fragment', 'marked')"))
+    v, s, r = judged.alias("v"), limits.alias("s"), runs.alias("r")
+    same = lambda x: (F.col("v.rec_table") == F.col(f"{x}.rec_table")) & F.col("v.source_id").eqNullSafe(F.col(f"{x}.source_id")) & (F.col("v.column_name") == F.col(f"{x}.column_name"))
+    at_spike = F.coalesce(F.array_contains("s.at_chars", F.col("v.chars")), F.lit(False)) | F.coalesce(F.array_contains("s.at_bytes", F.col("v.bytes")), F.lit(False))
+    in_run = F.coalesce(F.col("v.chars").between(F.col("r.low"), F.col("r.high")), F.lit(False))
+    joined = v.join(s, same("s"), "left").join(r, same("r"), "left").select("v.*", at_spike.alias("at_spike"), in_run.alias("in_run"))
     evidence = (
         F.when(F.col("at_spike"), "spike")
         .when(F.col("ending") == "label", F.lit(None))
-        .when((F.col("ending") == "fragment") & (words < 3), F.lit(None))
+        .when((F.col("ending") == "fragment") & (F.col("words") < 3), F.lit(None))
+        .when(F.col("in_run"), "run_up")
         .otherwise(F.col("ending"))
     )
     return joined.withColumn("evidence", evidence).where(F.col("evidence").isNotNull()).select("rec_table", "rec_id", "source_id", "column_name", "evidence")
