@@ -69,8 +69,10 @@ def cap_outlets(ranked: DataFrame, caps: list[tuple[str, float]]) -> DataFrame:
     share = F.lit(1.0)
     for i, (_, s) in enumerate(caps):
         share = F.when(F.col("cap") == i, float(s)).otherwise(share)
-    placed = ranked.withColumn("cap", which).withColumn("k", F.row_number().over(W.partitionBy("cap").orderBy("position", "ord")))
-    return placed.select("ord", (F.col("cap").isNotNull() & (F.col("k") > F.greatest(F.lit(1), F.floor(share * total)))).alias("capped"))
+    # only stories under a cap are ordered, within their cap
+    held = ranked.withColumn("cap", which).where("cap IS NOT NULL").withColumn("k", F.row_number().over(W.partitionBy("cap").orderBy("position", "ord")))
+    beyond = held.where(F.col("k") > F.greatest(F.lit(1), F.floor(share * total))).select("ord", F.lit(True).alias("capped"))
+    return ranked.select("ord").join(beyond, "ord", "left").select("ord", F.coalesce("capped", F.lit(False)).alias("capped"))
 
 
 def save_place(places: DataFrame, owner: str, city: str, region: str, most: int = 12) -> DataFrame:

@@ -9,7 +9,7 @@ from tidewire.operators.graph import connected_components
 from tidewire.operators.rank import outlet
 from tidewire.session import cut_lineage
 
-#: What makes a headline news of a death or an event.
+#: What makes a headline news of a death or an event; the look-arounds are the ASCII word boundary, which \\b is not on the JVM.
 DEATH = r"(?i)(?<![A-Za-z0-9_])(?:dies|died|has died|passes away|passed away|dead at|death of|found dead|dies at|killed in|slain)(?![A-Za-z0-9_])"
 EVENT = r"(?i)(?<![A-Za-z0-9_])(?:earthquake|tsunami|hurricane|tornado|explosion|terror(?:ist)? attack|mass shooting|shooting|plane crash|crash kills|state of emergency|declares war|invasion|missile strike|assassinat\w+|evacuat\w+|nuclear)(?![A-Za-z0-9_])"
 #: Words that name no event.
@@ -129,10 +129,10 @@ def find_alerts(stories: DataFrame, now_ms: int, window_ms: int = 43_200_000) ->
     ahead = F.lit(now_ms) - F.col("ts")
     cands = _numbered(stories).where((F.coalesce("ts", F.lit(0)) > 0) & (ahead <= window_ms) & (ahead >= -3_600_000)).withColumn("kind", kind_of(F.col("title"))).where("kind IS NOT NULL")
     cands = cut_lineage(cands.withColumn("words", words).withColumn("names", names))
-    x = cands.select("node", "kind", F.explode("words").alias("w"), F.expr("array_contains(names, w)").alias("p"))
-    a, b = x.alias("a"), x.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.node") < F.col("b.node"))).groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    pairs = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a.p") & F.col("b.p")).alias("p")).where("n >= 2 AND p >= 1")
+    # stories with the same name and the same other word are all pairs of one alert: a star to the first is enough
+    both = cands.select("node", "kind", F.explode("names").alias("name"), "words").select("node", "kind", "name", F.explode("words").alias("w")).where("w <> name")
+    firsts = both.groupBy("kind", "name", "w").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = both.join(firsts, ["kind", "name", "w"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     groups = connected_components(pairs)
     members = cands.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
     voice = F.regexp_replace(F.regexp_replace(F.lower(blank(F.col("source"))), r"^www\.", ""), r"[^a-z0-9.]", "")

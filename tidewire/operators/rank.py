@@ -53,10 +53,17 @@ def edition(scored: DataFrame, sections: DataFrame, secondary: int = 4, per_sect
     return opening.unionByName(placed.where(F.col("rank") <= per_section).select(F.lit("section").alias("slot"), "section", "rank", "ord", "id", "score"))
 
 
-def cap_sources(stories: DataFrame, most: int = 3) -> DataFrame:
-    """``stories`` with ``over``: whether the story is beyond its outlet's first ``most`` in ``ord`` (those go last)."""
-    place = F.row_number().over(W.partitionBy("outlet_key").orderBy("ord"))
-    return stories.withColumn("outlet_key", outlet(F.col("source"), F.col("id"))).withColumn("over", place > most).drop("outlet_key")
+def cap_sources(stories: DataFrame, most: int = 3, salts: int = 64) -> DataFrame:
+    """``stories`` with ``over``: whether the story is beyond its outlet's first ``most`` in ``ord`` (those go last).
+
+    The last place that counts is found in two steps, within ``salts`` shares of an outlet and then among the first
+    of each, so an outlet with a third of all stories is not sorted in one task.
+    """
+    keyed = stories.withColumn("outlet_key", outlet(F.col("source"), F.col("id")))
+    salted = keyed.select("outlet_key", "ord", F.pmod(F.xxhash64("ord"), F.lit(salts)).alias("salt"))
+    few = salted.withColumn("r", F.row_number().over(W.partitionBy("outlet_key", "salt").orderBy("ord"))).where(F.col("r") <= most)
+    last = few.withColumn("r", F.row_number().over(W.partitionBy("outlet_key").orderBy("ord"))).where(F.col("r") == most).select("outlet_key", F.col("ord").alias("last"))
+    return keyed.join(last, "outlet_key", "left").withColumn("over", F.coalesce(F.col("ord") > F.col("last"), F.lit(False))).drop("outlet_key", "last")
 
 
 def cap_topics(ranked: DataFrame, most: int = 6, min_shared: int = 2) -> DataFrame:

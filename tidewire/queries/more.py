@@ -69,7 +69,7 @@ def link_density(spark, d):
     return table(spark, d, "rss_items").where("content_encoded IS NOT NULL").select("item_id", F.round(extract.link_density(F.col("content_encoded")), 6).alias("density"))
 
 
-_KEY_WORDS = f"list_filter(regexp_extract_all(lower(coalesce({{x}}, '')), '([\\p{{{{L}}}}\\p{{{{N}}}}][\\p{{{{L}}}}\\p{{{{N}}}}''’-]*)', 1), lambda w: length(w) > 2 AND w NOT IN {q.words_in(extract.KEY_STOP)} AND NOT regexp_matches(w, '^\\d+$'))".replace("{{", "{").replace("}}", "}")
+_KEY_WORDS = f"list_filter(list_transform(regexp_extract_all(lower(coalesce({{x}}, '')), '([\\p{{{{L}}}}\\p{{{{N}}}}][\\p{{{{L}}}}\\p{{{{N}}}}''’-]*)', 1), lambda w: replace(w, '’', '''')), lambda w: length(w) > 2 AND w NOT IN {q.words_in(extract.KEY_STOP)} AND NOT regexp_matches(w, '^\\d+$'))".replace("{{", "{").replace("}}", "}")
 
 
 @query(

@@ -31,7 +31,7 @@ def stem(w: str) -> str:
 
 
 def words_in(stop: str) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in stop.split()) + ")"
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop.split()) + ")"
 
 
 def tokens(x: str, split: str, least: int, stop: str, stemmed: bool = False, numbers: bool = True) -> str:
