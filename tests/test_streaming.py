@@ -28,3 +28,26 @@ def test_votes_and_quota_and_once(spark, tmp_path):
     assert sorted(r.id for r in spark.table("once_out").collect()) == ["a", "b"]
     _run(wire.alert_counts(raw, "1 hour", "1 hour"), "alert_out", "complete")
     assert sorted((r.kind, r.n) for r in spark.table("alert_out").collect()) == [("death", 1), ("death", 1)]
+
+
+def test_seen_alerts_back_off_and_copies(spark, tmp_path):
+    def stream(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        return spark.readStream.schema(schema).parquet(str(tmp_path / name))
+
+    alerts = stream("alerts", [("me", "a", 1), ("me", "a", 2), ("me", "b", 3), ("me", "c", 4), ("me", "a", 5), ("you", "a", 6)], "owner string, key string, at long")
+    _run(wire.unseen(alerts, most=2), "unseen_out", "append")
+    assert sorted((r.owner, r.key, r.at) for r in spark.table("unseen_out").collect()) == [("me", "a", 1), ("me", "a", 5), ("me", "b", 3), ("me", "c", 4), ("you", "a", 6)]
+
+    asks = stream("lookups", [("h", 0, 200), ("h", 10, 429), ("h", 20, 200), ("h", 120_010, 200), ("g", 20, 200)], "host string, at long, status int")
+    _run(wire.backed_off(asks), "back_out", "append")
+    assert [(r.at, r.outcome) for r in spark.table("back_out").where("host = 'h'").orderBy("at").collect()] == [(0, "sent"), (10, "refused"), (20, "held"), (120_010, "sent")]
+
+    reads = stream("reads", [("w", 0, None), ("w", 1, "sun"), ("w", 5, "rain"), ("w", 20, None), ("w", 21, "fog")], "key string, at long, value string")
+    _run(wire.served_copies(reads, ttl_ms=10), "copies_out", "append")
+    assert [(r.value, r.stale) for r in spark.table("copies_out").orderBy("at").collect()] == [(None, False), ("sun", False), ("sun", False), ("sun", True), ("fog", False)]
+
+    month = 32 * 86_400_000
+    asked = stream("serp", [("p", 0), ("p", 86_400_000), ("p", month)], "provider string, at long")
+    _run(wire.quota(asked, ttl_ms=1, most=1, per="month"), "month_out", "append")
+    assert [r.outcome for r in spark.table("month_out").orderBy("at").collect()] == ["fetched", "capped", "fetched"]
