@@ -132,3 +132,22 @@ def test_alerts_with_a_hot_event(spark):
     made += [(f"{i:04d}", f"i{i}", "f", f"Quiet council meeting number {i}", f"https://q.example/{i}", "q", "", NOW, None, 0, 1) for i in range(400, 1200)]
     got = events.find_alerts(spark.createDataFrame(made, STORY), NOW).collect()
     assert [(a.level, a.kind, a.source_count, a.n_stories) for a in got] == [("red", "event", 9, 400)]
+
+
+def test_nearest_in_blocks_is_the_same(spark):
+    vectors = spark.createDataFrame([(i, [float((i * k) % 7 + (i == k)) for k in range(1, 5)]) for i in range(60)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 3 = 0")
+    assert rows(search.nearest_all(vectors, queries, 3, block_bytes=200)) == rows(search.nearest_all(vectors, queries, 3))
+    assert search.nearest_all(vectors, queries.limit(0), 3).count() == 0
+
+
+def test_caps_with_a_hot_outlet(spark):
+    """An outlet with a third of all stories: its first three stay, and a cap leaves the others alone."""
+    from tidewire.operators import brief, rank
+
+    made = [(f"{i:04d}", f"i{i}", "f", "t", "l", "hot" if i % 3 == 0 else f"o{i}", "", i, None, 0, 1) for i in range(900)]
+    df = spark.createDataFrame(made, STORY)
+    assert sorted(r.ord for r in rank.cap_sources(df, most=3).where("NOT over AND source = 'hot'").collect()) == ["0000", "0003", "0006"]
+    assert rank.cap_sources(df).where("over").count() == 297
+    capped = brief.cap_outlets(df.select("ord", "source", F.col("ts").alias("position")), [("hot", 0.1)])
+    assert capped.count() == 900 and capped.where("capped").count() == 210

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import labels, media, text as t
-from tidewire.functions.urls import page_key, site_host
+from tidewire.functions.urls import TRACKING, page_key, site_host
 from tidewire.operators import brief, search
 from tidewire.plans.wire import NOW_MS, STORIES_SQL, stories
 from tidewire.queries import query, sqltext as q
@@ -52,7 +52,16 @@ def rows_without_image(spark, d):
     return table(spark, d, "news_articles").where(media.needs_image(F.col("image_url"), F.col("link"))).select("row_id")
 
 
-@query("page_repeats")
+PAGE_REPEATS_SQL = rf"""
+WITH a AS (SELECT source_id, trim(link, ' ' || chr(10) || chr(9)) AS link FROM rss_items),
+b AS (SELECT source_id, regexp_replace(lower(regexp_extract(link, '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^((www\d?|m|mobile|amp)\.)+([^.]+\.)', '\3') AS host,
+  regexp_replace(regexp_extract(link, '^(?i:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(regexp_replace(link, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i:{TRACKING})(=|$)'))) AS pars FROM a)
+SELECT page, count(*) AS n, count(DISTINCT source_id) AS sources FROM (SELECT source_id, concat(host, path, '?', array_to_string(pars, '&')) AS page FROM b WHERE host <> '') x GROUP BY 1 HAVING count(*) > 1
+"""
+
+
+@query("page_repeats", PAGE_REPEATS_SQL)
 def page_repeats(spark, d):
     """Pages that several items link to, and from how many sources."""
     items = table(spark, d, "rss_items").select("source_id", page_key(F.col("link")).alias("page")).where("page IS NOT NULL")
