@@ -183,3 +183,52 @@ def test_extract_and_weather(spark):
     assert rows(weather.warnings(w).select("rank", "event")) == [(1, "Tornado Warning"), (2, "Flood Warning")]
     c = spark.createDataFrame([(0.0, 40), (359.0, 300), (225.0, None)], "d double, a int").select(weather.compass(F.col("d")).alias("c"), weather.air_band(F.col("a")).alias("b"))
     assert rows(c) == [("N", "Good"), ("N", "Very unhealthy"), ("SW", "")]
+
+
+def test_event_pairs_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"{a}{b}ro" for a in "bdfgkl" for b in "aeiou"]
+    made = []
+    for i in range(240):
+        base = rng.sample(words, rng.choice([2, 3, 4, 5, 7])) if i % 4 == 0 or not made else rng.sample(made[-1][1], len(made[-1][1]))
+        if i % 4 and rng.random() < 0.6:
+            base = base[:-1] + [rng.choice(words)]
+        made.append((f"{i:04d}", base, rng.choice([0, 10**12]) and 10**12 + rng.randrange(0, 9) * 40_000_000))
+    titles = [(o, " ".join(w.title() if rng.random() < 0.4 else w for w in ws), ts) for o, ws, ts in made]
+    df = spark.createDataFrame([(o, t, ts) for o, t, ts in titles], "ord string, title string, ts long").selectExpr("ord", "ord id", "title", "ts", "'' link", "'' source", "'' descr", "'' image_url", "0L report_count")
+    said = {r.ord: (r.ts, set(r.w), set(r.n)) for r in df.select("ord", "ts", events.cluster_words(F.col("title")).alias("w"), events.entities(F.col("title")).alias("n")).collect()}
+    for share, floor in ((0.08, 30), (0.0, 20)):
+        df_of = {w: sum(w in x[1] for x in said.values()) for x in said.values() for w in x[1]}
+        most = max(floor, int(len(said) * share))
+        want = set()
+        for a, (ta, wa, na) in said.items():
+            for b, (tb, wb, nb) in said.items():
+                both = wa & wb
+                if a < b and len(both) >= 3 and 2 * len(both) >= len(wa | wb) and min(df_of[w] for w in both) <= most:
+                    if (not ta or not tb or abs(ta - tb) <= 129_600_000) and (min(len(na), len(nb)) < 2 or 2 * len(na & nb) >= len(na | nb)):
+                        want.add((a, b))
+        assert len(want) > 20 and set(rows(events.same_event_pairs(df, share=share, floor=floor))) == want, (share, floor)
+    near = {}
+    for a, b in rows(events.same_event_pairs(df)):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for r in events.cluster_stories(df).collect():
+        seen, todo = {r.ord}, [r.ord]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert (r.cluster, r.cluster_size) == (min(seen), len(seen))
+
+
+def test_words_of_a_template_are_not_paired(spark):
+    """Stories that share common words only are not written as pairs."""
+    common = [f"{a}{b}t{c}" for a in "bdfgkl" for b in "aeiou" for c in "aio"]
+    made = [(f"{i:05d}", " ".join([f"x{i}q", f"y{i}q", f"z{i}q"] + [common[(i * 7 + k * 11) % 90] for k in range(5)]), 10**12 + i) for i in range(3000)]
+    df = spark.createDataFrame(made, "ord string, title string, ts long").selectExpr("ord", "ord id", "title", "ts", "'' link", "'' source", "'' descr", "'' image_url", "0L report_count")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    assert events.same_event_pairs(df).count() == 0
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 4_000_000

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewire.functions.text import blank, cluster_words, entities, is_opinion, jaccard, story_url, strip_publisher, title_key
 from tidewire.operators.graph import connected_components
 from tidewire.operators.rank import outlet
-from tidewire.session import cut_lineage
+from tidewire.session import BROADCAST_ROWS, cut_lineage
 
 #: What makes a headline news of a death or an event; the look-arounds are the ASCII word boundary, which \\b is not on the JVM.
 DEATH = r"(?i)(?<![A-Za-z0-9_])(?:dies|died|has died|passes away|passed away|dead at|death of|found dead|dies at|killed in|slain)(?![A-Za-z0-9_])"
@@ -51,57 +55,115 @@ def dedupe_stories(stories: DataFrame) -> DataFrame:
     return slots.join(stands, "slot").select("ord", "slot", (F.col("ord") == F.col("keeper")).alias("kept"))
 
 
+def _keyed(stories: DataFrame) -> DataFrame:
+    """What pairs and clusters of stories need of each: one pass over the stories, no text but the title's words."""
+    lead = F.struct(
+        (~is_opinion(F.col("title"), F.col("link"))).cast("int").alias("a"),
+        (blank(F.col("image_url")) != "").cast("int").alias("b"),
+        F.length(blank(F.col("descr"))).alias("c"),
+        F.coalesce("ts", F.lit(0)).alias("d"),
+    )
+    return _numbered(stories).select("ord", "node", F.coalesce("ts", F.lit(0)).alias("ts"), cluster_words(F.col("title")).alias("words"), entities(F.col("title")).alias("names"), lead.alias("best"), outlet(F.col("source"), F.col("id")).alias("who"), "report_count")
+
+
+def _prefixes(base: DataFrame, share: float, floor: int) -> DataFrame:
+    """node, ts, mark, w: the words by which a story can meet its like, as hashes.
+
+    Two sets of s and more words that share half of all and three at least share max(3, s/2) words, so the rarest
+    word that they share is among the s - max(3, s/2) + 1 rarest words of each.  If they share a telling word, that
+    rarest one is telling.  Any order of words that is the same for all stories serves; here it is by count for
+    words on more than one story in 5,000 (a list of bounded size), before them the rest by hash.  ``mark`` has a
+    bit in 56 for each word, and the number of words.
+    """
+    often = base.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    total = base.count()
+    counts = dict(often.where(F.col("df") > total / 5000).select(F.xxhash64("w"), "df").collect())
+    most = max(floor, math.floor(total * share))
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes, times, marks, firsts = [], [], [], []
+            for node, ts, words in zip(pdf["node"], pdf["ts"], pdf["words"]):
+                size = len(words)
+                mark = min(size, 127)
+                for w in words.tolist():
+                    mark |= 1 << (w % 55 + 8)
+                order = sorted((counts.get(w, 0), w) for w in words.tolist())[: size - max(3, (size + 1) // 2) + 1]
+                nodes.append(node)
+                times.append(ts)
+                marks.append(mark)
+                firsts.append([w for df, w in order if df <= most])
+            yield pd.DataFrame({"node": nodes, "ts": times, "mark": marks, "firsts": firsts})
+
+    told = base.where(F.size("words") >= 3).select("node", "ts", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    return told.mapInPandas(make, "node long, ts long, mark long, firsts array<long>").select("node", "ts", "mark", F.explode("firsts").alias("w"))
+
+
+def _event_pairs(base: DataFrame, window_ms: int, share: float, floor: int) -> DataFrame:
+    """a, b (nodes) of stories of one event, each pair once; ``base`` is written somewhere."""
+    rows = _prefixes(base, share, floor)
+    dated, undated = rows.where("ts <> 0"), rows.where("ts = 0").select("node", "mark", "w")
+    # a story stands in the slot of its time and in that of its time one window on: of two near stories the later
+    # one's slot is one of the earlier one's
+    slot = 10 * window_ms
+    slots = F.array_distinct(F.array(F.floor(F.col("ts") / slot), F.floor((F.col("ts") + window_ms) / slot)))
+    placed = dated.select("node", "mark", "w", F.explode(slots).alias("slot")).select("node", "mark", F.xxhash64("w", "slot").alias("key"))
+
+    def may(x: str, y: str) -> Column:
+        # words that only one has: at most a third of both together, and never fewer than bits that only one has
+        size = F.col(x).bitwiseAND(127) + F.col(y).bitwiseAND(127)
+        long = (F.col(x).bitwiseAND(127) == 127) | (F.col(y).bitwiseAND(127) == 127)
+        return long | (3 * F.bit_count(F.shiftright(F.col(x).bitwiseXOR(F.col(y)), 8)) <= size)
+
+    x, y = placed.alias("x"), placed.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x.mark", "y.mark")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    few = undated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    u, v = (F.broadcast(undated) if few else undated).alias("u"), rows.alias("v")
+    loose = v.join(u, (F.col("u.w") == F.col("v.w")) & (F.col("u.node") != F.col("v.node")) & may("u.mark", "v.mark"))
+    pairs = cut_lineage(met.unionByName(loose.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b"))).distinct())
+    ids = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    asked = base.select("node", "ts", "words", "names").join(F.broadcast(ids) if small else ids, "node", "left_semi")
+    one, two = asked.alias("one"), asked.alias("two")
+    both = pairs.join(one, F.col("a") == F.col("one.node")).join(two, F.col("b") == F.col("two.node"))
+    near = (F.col("one.ts") == 0) | (F.col("two.ts") == 0) | (F.abs(F.col("one.ts") - F.col("two.ts")) <= window_ms)
+    alike = (F.size(F.array_intersect("one.words", "two.words")) >= 3) & (jaccard(F.col("one.words"), F.col("two.words")) >= 0.5)
+    named = (F.size("one.names") < 2) | (F.size("two.names") < 2) | (jaccard(F.col("one.names"), F.col("two.names")) >= 0.5)
+    return both.where(near & alike & named).select("a", "b")
+
+
 def same_event_pairs(stories: DataFrame, window_ms: int = 129_600_000, share: float = 0.08, floor: int = 30) -> DataFrame:
     """ord_a < ord_b of stories of one event.
 
     They share at least three title words and half of all, half of their names if both have two, and lie within
-    36 hours if both times are known.  Only stories that share a word which is not on too many stories
-    (max(``floor``, ``share`` of all)) are compared, and each pair once; in time they meet in slots one window
-    long, so the wire's length does not add to a word's pairs.
+    36 hours if both times are known; one of the words they share is not on too many stories
+    (max(``floor``, ``share`` of all)).  Stories meet on the rarest of their words and in time (``_prefixes``).
     """
-    base = cut_lineage(stories.select("ord", F.coalesce("ts", F.lit(0)).alias("ts"), cluster_words(F.col("title")).alias("words"), entities(F.col("title")).alias("names")))
-    exploded = base.select("ord", F.explode("words").alias("w"))
-    often = exploded.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    total = base.agg(F.count(F.lit(1)).alias("n"))
-    telling = often.where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(floor), F.floor(total.scalar() * share))))
-    # rows meet on (word, time slot); a slot is one window long, so a near pair lies in equal or neighbouring slots;
-    # rows without a time meet every row of the word
-    slot = F.floor(F.col("ts") / window_ms)
-    kept = exploded.join(telling.select("w"), "w").join(base.select("ord", "ts"), "ord")
-    dated = kept.where("ts <> 0")
-    x = dated.select("ord", "w", slot.alias("slot"))
-    y = dated.select(F.col("ord").alias("other"), "w", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    undated = kept.where("ts = 0").select("ord", "w").join(kept.select(F.col("ord").alias("other"), "w"), "w").where("ord <> other")
-    found = x.join(y, ["w", "slot"]).where("ord < other").select("ord", "other").unionByName(undated.select(F.least("ord", "other").alias("ord"), F.greatest("ord", "other").alias("other"))).distinct()
-    a, b = base.alias("a"), base.alias("b")
-    met = found.join(a, F.col("a.ord") == found["ord"]).join(b, F.col("b.ord") == F.col("other"))
-    shared = F.size(F.array_intersect("a.words", "b.words"))
-    near = (F.col("a.ts") == 0) | (F.col("b.ts") == 0) | (F.abs(F.col("a.ts") - F.col("b.ts")) <= window_ms)
-    alike = (shared >= 3) & (jaccard(F.col("a.words"), F.col("b.words")) >= 0.5)
-    named = (F.size("a.names") < 2) | (F.size("b.names") < 2) | (jaccard(F.col("a.names"), F.col("b.names")) >= 0.5)
-    return met.where(near & alike & named).select(F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"))
+    base = cut_lineage(_keyed(stories).select("ord", "node", "ts", "words", "names"))
+    found = cut_lineage(_event_pairs(base, window_ms, share, floor))
+    ids = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    known = base.select("node", "ord").join(F.broadcast(ids) if found.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else ids, "node", "left_semi")
+    one, two = (known.select(F.col("node").alias(x), F.col("ord").alias(f"ord_{x}")) for x in "ab")
+    return found.join(one, "a").join(two, "b").select(F.least("ord_a", "ord_b").alias("ord_a"), F.greatest("ord_a", "ord_b").alias("ord_b"))
 
 
 def cluster_stories(stories: DataFrame) -> DataFrame:
     """ord, cluster (its first story's ord), is_lead, cluster_size, report_count of every story.
 
     The lead is the best of a cluster: no opinion, an image, the longer description, the later time, the earlier
-    place; it carries the number of outlets, or its own count if higher.
+    place; it carries the number of outlets, or its own count if higher.  A story alone is its own lead and is
+    not ordered or counted.
     """
-    pairs = same_event_pairs(stories)
-    groups = connected_components(pairs.select(F.xxhash64("ord_a").alias("a"), F.xxhash64("ord_b").alias("b")))
-    members = _numbered(stories).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = F.struct(
-        (~is_opinion(F.col("title"), F.col("link"))).cast("int").alias("a"),
-        (blank(F.col("image_url")) != "").cast("int").alias("b"),
-        F.length(blank(F.col("descr"))).alias("c"),
-        F.coalesce("ts", F.lit(0)).alias("d"),
-    )
-    each = W.partitionBy("component")
-    ranked = members.withColumn("rank", F.row_number().over(each.orderBy(best.desc(), "ord")))
-    facts = members.groupBy("component").agg(F.min("ord").alias("cluster"), F.count(F.lit(1)).alias("cluster_size"), F.count_distinct(outlet(F.col("source"), F.col("id"))).alias("outlets"))
-    single = F.col("cluster_size") == 1
-    return ranked.join(facts, "component").select("ord", "cluster", (F.col("rank") == 1).alias("is_lead"), "cluster_size", F.when(single, F.col("report_count")).otherwise(F.greatest("report_count", "outlets")).alias("report_count"))
+    base = cut_lineage(_keyed(stories))
+    groups = cut_lineage(connected_components(_event_pairs(base, 129_600_000, 0.08, 30)))
+    rest = base.select("ord", "node", "best", "who", "report_count")
+    known = F.broadcast(groups) if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else groups
+    members = rest.join(known, "node")
+    ranked = members.withColumn("rank", F.row_number().over(W.partitionBy("component").orderBy(F.col("best").desc(), "ord")))
+    facts = members.groupBy("component").agg(F.min("ord").alias("cluster"), F.count(F.lit(1)).alias("cluster_size"), F.count_distinct("who").alias("outlets"))
+    together = ranked.join(facts, "component").select("ord", "cluster", (F.col("rank") == 1).alias("is_lead"), "cluster_size", F.greatest("report_count", "outlets").alias("report_count"))
+    alone = rest.join(known, "node", "left_anti").select("ord", F.col("ord").alias("cluster"), F.lit(True).alias("is_lead"), F.lit(1).cast("long").alias("cluster_size"), F.col("report_count"))
+    return together.unionByName(alone)
 
 
 def kind_of(title: Column) -> Column:
