@@ -10,10 +10,10 @@ symbols there would be 170 times as many candidates among them, and these grow w
 
 Candidates are decided on the Hamming distance of their fingerprints (one bit a symbol) where that is six standard
 deviations from what a pair at the threshold has (wrong once in 500 million), else on the sequences themselves;
-groups close under chains.
+groups close under chains.  Sequences are compared only for pairs that the decided ones leave in two groups.
 
 No group is expanded into all pairs: exact copies are first reduced to one representative; within a block
-every member is compared with the block's first member only, and just the members that this does not link
+every member is compared with the block's first member only, and just the members that this leaves outside its group
 are compared with the rest of their block.  Links between members that hang together already cannot change
 the groups, so none that matters is lost.
 
@@ -143,8 +143,8 @@ def _exact(pairs: DataFrame, articles: DataFrame, wording: Wording, threshold: f
     return joined.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, wording: Wording, threshold: float) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by the distance of their fingerprints where it is decisive, else by their sequences."""
+def _near(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by the distance of their fingerprints, and whether they surely do."""
     words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(SYMBOLS // 64)]
     side = firsts.select("row_id", "n", F.array(*words).alias("bits"))
     left, right = (side.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
@@ -152,8 +152,14 @@ def _verified(pairs: DataFrame, firsts: DataFrame, articles: DataFrame, wording:
     unlike = SYMBOLS * (1 - threshold) / 2
     spread_of = 6 * (unlike * (1 + threshold) / 2) ** 0.5
     able = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    near = cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= int(unlike + spread_of))).select("a", "b", (differ < unlike - spread_of).alias("sure")))
-    return near.where("sure").select("a", "b").unionByName(_exact(near.where("NOT sure").select("a", "b"), articles, wording, threshold))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= int(unlike + spread_of))).select("a", "b", (differ < unlike - spread_of).alias("sure")))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose rows do not hang together by ``groups`` (node, component), with the groups' names in_a and in_b."""
+    x, y = (groups.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")) for c in "ab")
+    joined = pairs.join(x, "a", "left").join(y, "b", "left").withColumn("in_a", F.coalesce("in_a", "a")).withColumn("in_b", F.coalesce("in_b", "b"))
+    return joined.where("in_a <> in_b")
 
 
 def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), threshold: float = 0.45) -> DataFrame:
@@ -170,13 +176,19 @@ def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), thr
     blocked = keyed.select("block", "row_id", F.min("row_id").over(block).alias("head"), F.count(F.lit(1)).over(block).alias("n"))
     members = cut_lineage(blocked.where("n > 1 AND row_id <> head"))
     stars = members.select(F.col("head").alias("a"), F.col("row_id").alias("b")).distinct()
-    linked = cut_lineage(_verified(stars, firsts, articles, wording, threshold))
-    # members their block's head does not link meet the rest of the block
-    loose = members.where("n > 2").join(linked.select(F.col("a").alias("head"), F.col("b").alias("row_id")), ["head", "row_id"], "left_anti")
-    rest = loose.select("block", F.col("row_id").alias("x")).join(members.select("block", F.col("row_id").alias("y")), "block").where("x <> y")
-    more = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = linked.unionByName(_verified(more, firsts, articles, wording, threshold))
-    groups = connected_components(links)
+    near = _near(stars, firsts, threshold)
+    sure = connected_components(near.where("sure"))
+    found = cut_lineage(_exact(cut_lineage(_apart(near.where("NOT sure"), sure).select("a", "b")), articles, wording, threshold))
+    # members that do not hang together with their block's head meet those of the block outside their group
+    loose = _apart(members.where("n > 2").select("block", F.col("head").alias("a"), F.col("row_id").alias("b")), sure).join(found, ["a", "b"], "left_anti")
+    rest = loose.select("block", F.col("b").alias("x")).join(members.select("block", F.col("row_id").alias("y")), "block").where("x <> y")
+    more = _apart(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sure).select("a", "b")
+    further = _near(more, firsts, threshold)
+    found = found.unionByName(further.where("sure").select("a", "b")).unionByName(_exact(further.where("NOT sure").select("a", "b"), articles, wording, threshold))
+    # the groups of the sure links are the nodes of the rest
+    joint = connected_components(_apart(found, sure).select("in_a", "in_b"), "in_a", "in_b")
+    alone = joint.join(sure.select("node"), "node", "left_anti").select("node", F.col("component").alias("whole"))
+    groups = sure.join(joint.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone.select("node", F.col("whole").alias("component")))
     heads_of = prints.groupBy("digest").agg(F.min("row_id").alias("first"))
     return (
         prints.select("row_id", "digest")
