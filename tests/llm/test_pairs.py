@@ -285,3 +285,11 @@ def test_short_items_leak_whole(spark):
     items = spark.createDataFrame([(1, "Été, comme hiver!"), (2, ""), (3, None), (4, "again"), (5, "w " * 20)], "item_id long, item_text string")
     assert rows(leakage.short_leaks(docs, items)) == [(1, 1), (1, 4), (5, 1)]
     assert leakage.short_leaks(docs, items.limit(0)).count() == 0 and leakage.short_leaks(docs.limit(0), items).count() == 0
+
+
+def test_common_words_are_counted_over_all_documents(spark):
+    # 20 in 6,000: the share that makes a word common, whatever part of the documents holds it; long texts count too
+    texts = ["every page" + (" harbour" if i < 20 else "") + (" rarely" if i < 19 else "") + (" lengthy" * 2600 if i >= 5980 else "") for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.common_words(docs) == ["every", "harbour", "lengthy", "page"]
+    assert pii.common_words(docs.limit(0)) == []

@@ -8,8 +8,8 @@ them the text costs nothing.  Weights are trained here by gradient ascent on the
 sentences that `training_texts` composes from a grammar, a bounded number of them (``n_train``), with the
 given names in use.  Being a given name in use is one trigger of a name; initials, titles ("Ms") and ages
 (", 44,") beside two words with capitals are others, so names outside the list are found where the text
-announces them.  The fit also takes the words that stand in lower case in a bounded sample of documents
-(``n_sample``), which tell common words from surnames.
+announces them.  The fit also counts the words that stand in lower case over all documents; the common ones
+among them tell common words from surnames.
 
 Defined results: null, empty and blank texts hold nothing; very long texts are searched whole; a detail that
 stands twice in a text is one row of `find`, and both places are replaced by `redact`; overlapping details
@@ -27,7 +27,7 @@ from math import exp, log
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.session import ship, spread
+from tidewire.session import cut_lineage, ship, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 #: Particles of surnames.
@@ -585,27 +585,43 @@ def training_texts(given: list[str], common: list[str], n: int, seed: int = 11)
     return out
 
 
-def fit(docs: DataFrame, given_names: DataFrame, n_train: int = 4000, n_sample: int = 1500, most_names: int = 200_000) -> Model:
+_LOWER = re.compile(r"(?<![\w’'.-])[^\W\d_]+(?:[’'-][^\W\d_]+)*")
+
+
+def common_words(docs: DataFrame, least: int = 5, one_in: int = 300) -> list[str]:
+    """Lower-case words of at least ``least`` documents and of one document in ``one_in``, counted over all documents.
+
+    Batches send their counts, not their texts; the share bounds the list to ``one_in`` times the words of a document.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts: dict[str, int] = {"": len(pdf)}
+            for text in pdf["text"]:
+                for w in {w for w in find_all(text or "") if w[0].islower()}:
+                    counts[w] = counts.get(w, 0) + 1
+            yield pd.DataFrame({"word": list(counts), "n": pd.Series(list(counts.values()), dtype="int64")})
+
+    find_all = _LOWER.findall
+    found = cut_lineage(spread(docs.select("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = found.where("word = ''").first()
+    if total is None:
+        return []
+    return sorted(r.word for r in found.where((F.col("word") != "") & (F.col("n") >= max(least, total.n // one_in))).collect())
+
+
+def fit(docs: DataFrame, given_names: DataFrame, n_train: int = 4000, most_names: int = 200_000) -> Model:
     """The trained model.
 
-    ``n_train`` composed sentences and the lower-case words of about ``n_sample`` documents (chosen by a hash of
-    their ids, at most twice as many, of up to 20,000 characters) bound what is gathered; the given names are a
-    table of fixed size, and more than ``most_names`` of them are an error, never a part of them.
+    Its lexicon of common words is counted over all documents; ``n_train`` sentences are composed, not drawn from
+    them.  The given names are a table of fixed size, and more than ``most_names`` of them are an error, never a
+    part of them.
     """
     listed = given_names.select("given_name").distinct().limit(most_names + 1).collect()
     if len(listed) > most_names:
         raise ValueError(f"more than {most_names} given names")
     given = sorted({r[0].strip() for r in listed if r[0] and r[0].strip()})
-    # a hash of the id picks the sample before anything is sent, so no partition sends more than its share
-    every = max(1, docs.count() // n_sample)
-    h = F.xxhash64("doc_id")
-    sample = docs.where((F.pmod(h, F.lit(every)) == 0) & F.length("text").between(1, 20_000)).select(h.alias("h"), "text").orderBy("h", "text").limit(2 * n_sample)
-    counts: dict[str, int] = {}
-    for row in sample.collect():
-        for w in {w for w in re.findall(r"(?<![\w’'.-])[^\W\d_]+(?:[’'-][^\W\d_]+)*", row.text) if w[0].islower()}:
-            counts[w] = counts.get(w, 0) + 1
-    least = max(2, len(counts) and n_sample // 300)
-    common = sorted(w for w, k in counts.items() if k >= least)
+    common = common_words(docs)
     names = {x.lower() for x in given}
     model = Model(given, [w for w in common if w not in names])
     if not given:
