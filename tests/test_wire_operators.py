@@ -232,3 +232,22 @@ def test_words_of_a_template_are_not_paired(spark):
     before = store.executorSummary("driver").totalShuffleWrite()
     assert events.same_event_pairs(df).count() == 0
     assert store.executorSummary("driver").totalShuffleWrite() - before < 4_000_000
+
+
+def test_merge_writes_little(spark, tmp_path, monkeypatch):
+    """Stories without a double stay where they are, and like titles about others are not fetched to be compared."""
+    from tidewire.plans import wire
+    from tidewire.queries.wire import wire_merge
+
+    made = [(f"s{i}", "f", f"Mayor Ab{i}er opens new bridge over Lake Ma{i}on in spring", f"https://a.example/{i}", "A", None, "en", None, "d", NOW if i % 9 else None, None, False, 0) for i in range(28)]
+    made += [made[0], ("t1", *made[1][1:3], "https://b.example/1", *made[1][4:]), ("t2", "f", "Another title of the same page", *made[2][3:])]
+    columns = "story_id string, feed_id string, title string, link string, source string, badge string, lang string, categories array<string>, descr string, ts long, image_url string, breaking boolean, report_count long"
+    spark.createDataFrame(made, columns).repartition(3).write.parquet(f"{tmp_path}/wire_stories.parquet")
+    written, write = [], events.cut_lineage
+    monkeypatch.setattr(events, "cut_lineage", lambda df: [out := write(df), written.append(out.count())][0])
+    merged = wire_merge(spark, str(tmp_path))
+    assert sorted(r.id for r in merged.collect()) == sorted(f"s{i}" for i in range(28)) and {r.cluster_size for r in merged.collect()} == {1}
+    # all stories once before titles and pages are compared, and of like titles fewer than the 378 pairs that they make
+    assert max(written) == 30 and written.count(30) == 1 and sum(written) < 130
+    monkeypatch.undo()
+    assert rows(wire.stories_in_place(spark, str(tmp_path)).drop("categories")) == rows(wire.stories(spark, str(tmp_path)).drop("categories"))

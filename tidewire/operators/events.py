@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidewire.functions.text import blank, cluster_words, entities, is_opinion, jaccard, story_url, strip_publisher, title_key
 from tidewire.operators.graph import connected_components
 from tidewire.operators.rank import outlet
-from tidewire.session import BROADCAST_ROWS, cut_lineage
+from tidewire.session import BROADCAST_ROWS, cut_lineage, few
 
 #: What makes a headline news of a death or an event; the look-arounds are the ASCII word boundary, which \\b is not on the JVM.
 DEATH = r"(?i)(?<![A-Za-z0-9_])(?:dies|died|has died|passes away|passed away|dead at|death of|found dead|dies at|killed in|slain)(?![A-Za-z0-9_])"
@@ -31,31 +31,45 @@ def dedupe_stories(stories: DataFrame) -> DataFrame:
     Stories fold from left to right: a story joins the slot that its page was first put in, else the slot of the
     last story before it with its title (titles longer than 12 characters), else it opens one.  So every story
     points at one earlier story or at itself, and its slot is the end of that chain; chains are shortened by
-    half each round.  No group of copies is gathered: pages are aggregated, titles look one story back, and the
-    row that stands for a slot (an image, then the longer description, then the later time, the earlier one on
+    half each round.  Stories that share neither page nor title with another are not moved.  No group of copies is
+    gathered: pages are aggregated, titles look one story back, and the row that stands for a slot (an image, then the longer description, then the later time, the earlier one on
     ties) is a maximum.
     """
     keyed = stories.select("ord", story_url(F.col("link")).alias("u"), title_key(F.col("title")).alias("t"), (blank(F.col("image_url")) != "").alias("pictured"), F.length(blank(F.col("descr"))).alias("size"), F.coalesce("ts", F.lit(0)).alias("ts"))
     keyed = cut_lineage(keyed.withColumn("u", F.when(F.col("u") != "", F.col("u"))).withColumn("t", F.when(F.length("t") > 12, F.col("t"))))
-    pages = keyed.where("u IS NOT NULL").groupBy("u").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    titles = keyed.where("t IS NOT NULL").select("ord", F.lag("ord").over(W.partitionBy("t").orderBy("ord")).alias("before")).where("before IS NOT NULL")
-    joined = keyed.select("ord", "u").join(pages, "u", "left").join(titles, "ord", "left")
-    known = F.col("first") < F.col("ord")
-    links = cut_lineage(joined.select("ord", F.when(known, F.col("first")).otherwise(F.coalesce("before", "ord")).alias("at")))
+    paged = _recurring(keyed.select("ord", "u"), "u")
+    pages = paged.groupBy("u").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    known = paged.join(pages, "u").where("first < ord").select("ord", "first")
+    titled = _recurring(keyed.select("ord", "t"), "t")
+    titles = titled.select("ord", F.lag("ord").over(W.partitionBy("t").orderBy("ord")).alias("before")).where("before IS NOT NULL")
+    # only stories that point at an earlier one are moved
+    links = cut_lineage(known.join(titles, "ord", "full_outer").select("ord", F.coalesce("first", "before").alias("at")))
     while True:
         further = links.select(F.col("ord").alias("at"), F.col("at").alias("next"))
-        moved = cut_lineage(links.where("at <> ord").join(further, "at").select("ord", "next", (F.col("next") != F.col("at")).alias("moved")))
-        roots = links.where("at = ord")
-        links = roots.unionByName(moved.select("ord", F.col("next").alias("at")))
+        moved = cut_lineage(links.join(further, "at", "left").select("ord", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("moved")))
+        links = moved.select("ord", "at")
         if not moved.where("moved").limit(1).count():
             break
-    slots = links.select("ord", F.col("at").alias("slot")).join(keyed, "ord").select("ord", "slot", F.struct("pictured", "size", "ts").alias("rank"))
+    linked = cut_lineage(links.unionByName(links.select(F.col("at").alias("ord"), "at").distinct()))
+    linked = few(linked, BROADCAST_ROWS // 4)
+    slots = keyed.join(linked, "ord").select("ord", F.col("at").alias("slot"), F.struct("pictured", "size", "ts").alias("rank"))
     best = slots.groupBy("slot").agg(F.max("rank").alias("top"))
     stands = slots.join(best, "slot").where(F.col("rank") == F.col("top")).groupBy("slot").agg(F.min("ord").alias("keeper"))
-    return slots.join(stands, "slot").select("ord", "slot", (F.col("ord") == F.col("keeper")).alias("kept"))
+    together = slots.join(stands, "slot").select("ord", "slot", (F.col("ord") == F.col("keeper")).alias("kept"))
+    return together.unionByName(keyed.join(linked, "ord", "left_anti").select("ord", F.col("ord").alias("slot"), F.lit(True).alias("kept")))
 
 
-def _keyed(stories: DataFrame) -> DataFrame:
+def _recurring(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a key, without those whose key occurs once if the recurring ones are few (by a hash, so some of those may stay)."""
+    rows = rows.where(F.col(key).isNotNull())
+    counts = rows.groupBy(F.xxhash64(key).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    again = cut_lineage(counts.where("n > 1").select("h"))
+    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(again), F.xxhash64(key) == F.col("h"), "left_semi")
+
+
+def _keyed(stories: DataFrame, *carry: str) -> DataFrame:
     """What pairs and clusters of stories need of each: one pass over the stories, no text but the title's words."""
     lead = F.struct(
         (~is_opinion(F.col("title"), F.col("link"))).cast("int").alias("a"),
@@ -63,17 +77,17 @@ def _keyed(stories: DataFrame) -> DataFrame:
         F.length(blank(F.col("descr"))).alias("c"),
         F.coalesce("ts", F.lit(0)).alias("d"),
     )
-    return _numbered(stories).select("ord", "node", F.coalesce("ts", F.lit(0)).alias("ts"), cluster_words(F.col("title")).alias("words"), entities(F.col("title")).alias("names"), lead.alias("best"), outlet(F.col("source"), F.col("id")).alias("who"), "report_count")
+    return _numbered(stories).select("ord", "node", F.coalesce("ts", F.lit(0)).alias("ts"), cluster_words(F.col("title")).alias("words"), entities(F.col("title")).alias("names"), lead.alias("best"), outlet(F.col("source"), F.col("id")).alias("who"), "report_count", *carry)
 
 
 def _prefixes(base: DataFrame, share: float, floor: int) -> DataFrame:
-    """node, ts, mark, w: the words by which a story can meet its like, as hashes.
+    """node, ts, mark, names, w: the words by which a story can meet its like, as hashes.
 
     Two sets of s and more words that share half of all and three at least share max(3, s/2) words, so the rarest
     word that they share is among the s - max(3, s/2) + 1 rarest words of each.  If they share a telling word, that
     rarest one is telling.  Any order of words that is the same for all stories serves; here it is by count for
     words on more than one story in 5,000 (a list of bounded size), before them the rest by hash.  ``mark`` has a
-    bit in 56 for each word, and the number of words.
+    bit in 55 for each word, and the number of words; ``names`` is that of the names.
     """
     often = base.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     total = base.count()
@@ -81,45 +95,56 @@ def _prefixes(base: DataFrame, share: float, floor: int) -> DataFrame:
     most = max(floor, math.floor(total * share))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def marked(words: list[int]) -> int:
+            mark = min(len(words), 127)
+            for w in words:
+                mark |= 1 << (w % 55 + 8)
+            return mark
+
         for pdf in batches:
-            nodes, times, marks, firsts = [], [], [], []
-            for node, ts, words in zip(pdf["node"], pdf["ts"], pdf["words"]):
+            nodes, times, marks, names, firsts = [], [], [], [], []
+            for node, ts, words, called in zip(pdf["node"], pdf["ts"], pdf["words"], pdf["names"]):
                 size = len(words)
-                mark = min(size, 127)
-                for w in words.tolist():
-                    mark |= 1 << (w % 55 + 8)
                 order = sorted((counts.get(w, 0), w) for w in words.tolist())[: size - max(3, (size + 1) // 2) + 1]
                 nodes.append(node)
                 times.append(ts)
-                marks.append(mark)
+                marks.append(marked(words.tolist()))
+                names.append(marked(called.tolist()))
                 firsts.append([w for df, w in order if df <= most])
-            yield pd.DataFrame({"node": nodes, "ts": times, "mark": marks, "firsts": firsts})
+            yield pd.DataFrame({"node": nodes, "ts": times, "mark": marks, "names": names, "firsts": firsts})
 
-    told = base.where(F.size("words") >= 3).select("node", "ts", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    return told.mapInPandas(make, "node long, ts long, mark long, firsts array<long>").select("node", "ts", "mark", F.explode("firsts").alias("w"))
+    hashed = (F.transform(words, lambda w: F.xxhash64(w)).alias(c) for c, words in (("words", F.col("words")), ("names", F.array_distinct("names"))))
+    told = base.where(F.size("words") >= 3).select("node", "ts", *hashed)
+    return told.mapInPandas(make, "node long, ts long, mark long, names long, firsts array<long>").select("node", "ts", "mark", "names", F.explode("firsts").alias("w"))
 
 
 def _event_pairs(base: DataFrame, window_ms: int, share: float, floor: int) -> DataFrame:
     """a, b (nodes) of stories of one event, each pair once; ``base`` is written somewhere."""
     rows = _prefixes(base, share, floor)
-    dated, undated = rows.where("ts <> 0"), rows.where("ts = 0").select("node", "mark", "w")
+    dated, undated = rows.where("ts <> 0"), rows.where("ts = 0").select("node", "mark", "names", "w")
     # a story stands in the slot of its time and in that of its time one window on: of two near stories the later
     # one's slot is one of the earlier one's
     slot = 10 * window_ms
     slots = F.array_distinct(F.array(F.floor(F.col("ts") / slot), F.floor((F.col("ts") + window_ms) / slot)))
-    placed = dated.select("node", "mark", "w", F.explode(slots).alias("slot")).select("node", "mark", F.xxhash64("w", "slot").alias("key"))
+    placed = dated.select("node", "ts", "mark", "names", "w", F.explode(slots).alias("slot")).select("node", "ts", "mark", "names", F.xxhash64("w", "slot").alias("key"))
 
     def may(x: str, y: str) -> Column:
-        # words that only one has: at most a third of both together, and never fewer than bits that only one has
-        size = F.col(x).bitwiseAND(127) + F.col(y).bitwiseAND(127)
-        long = (F.col(x).bitwiseAND(127) == 127) | (F.col(y).bitwiseAND(127) == 127)
-        return long | (3 * F.bit_count(F.shiftright(F.col(x).bitwiseXOR(F.col(y)), 8)) <= size)
+        # words that only one has: at most a third of both together, and never fewer than bits that only one has;
+        # the same of names, if both have two
+        def alike(c: str) -> Column:
+            one, two = F.col(f"{x}.{c}"), F.col(f"{y}.{c}")
+            n, m = one.bitwiseAND(127), two.bitwiseAND(127)
+            loose = (n == 127) | (m == 127) | (3 * F.bit_count(F.shiftright(one.bitwiseXOR(two), 8)) <= n + m)
+            return loose | (n < 2) | (m < 2) if c == "names" else loose
+
+        return alike("mark") & alike("names")
 
     x, y = placed.alias("x"), placed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x.mark", "y.mark")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    in_time = F.abs(F.col("x.ts") - F.col("y.ts")) <= window_ms
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & in_time & may("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     few = undated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     u, v = (F.broadcast(undated) if few else undated).alias("u"), rows.alias("v")
-    loose = v.join(u, (F.col("u.w") == F.col("v.w")) & (F.col("u.node") != F.col("v.node")) & may("u.mark", "v.mark"))
+    loose = v.join(u, (F.col("u.w") == F.col("v.w")) & (F.col("u.node") != F.col("v.node")) & may("u", "v"))
     pairs = cut_lineage(met.unionByName(loose.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b"))).distinct())
     ids = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -147,22 +172,21 @@ def same_event_pairs(stories: DataFrame, window_ms: int = 129_600_000, share: fl
     return found.join(one, "a").join(two, "b").select(F.least("ord_a", "ord_b").alias("ord_a"), F.greatest("ord_a", "ord_b").alias("ord_b"))
 
 
-def cluster_stories(stories: DataFrame) -> DataFrame:
-    """ord, cluster (its first story's ord), is_lead, cluster_size, report_count of every story.
+def cluster_stories(stories: DataFrame, *carry: str) -> DataFrame:
+    """ord, cluster (its first story's ord), is_lead, cluster_size, report_count, ``carry`` (other columns) of every story.
 
     The lead is the best of a cluster: no opinion, an image, the longer description, the later time, the earlier
     place; it carries the number of outlets, or its own count if higher.  A story alone is its own lead and is
     not ordered or counted.
     """
-    base = cut_lineage(_keyed(stories))
-    groups = cut_lineage(connected_components(_event_pairs(base, 129_600_000, 0.08, 30)))
-    rest = base.select("ord", "node", "best", "who", "report_count")
-    known = F.broadcast(groups) if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else groups
-    members = rest.join(known, "node")
+    base = cut_lineage(_keyed(stories, *carry))
+    groups = few(cut_lineage(connected_components(_event_pairs(base, 129_600_000, 0.08, 30))))
+    rest = base.select("ord", "node", "best", "who", "report_count", *carry)
+    members = rest.join(groups, "node")
     ranked = members.withColumn("rank", F.row_number().over(W.partitionBy("component").orderBy(F.col("best").desc(), "ord")))
     facts = members.groupBy("component").agg(F.min("ord").alias("cluster"), F.count(F.lit(1)).alias("cluster_size"), F.count_distinct("who").alias("outlets"))
-    together = ranked.join(facts, "component").select("ord", "cluster", (F.col("rank") == 1).alias("is_lead"), "cluster_size", F.greatest("report_count", "outlets").alias("report_count"))
-    alone = rest.join(known, "node", "left_anti").select("ord", F.col("ord").alias("cluster"), F.lit(True).alias("is_lead"), F.lit(1).cast("long").alias("cluster_size"), F.col("report_count"))
+    together = ranked.join(facts, "component").select("ord", "cluster", (F.col("rank") == 1).alias("is_lead"), "cluster_size", F.greatest("report_count", "outlets").alias("report_count"), *carry)
+    alone = rest.join(groups, "node", "left_anti").select("ord", F.col("ord").alias("cluster"), F.lit(True).alias("is_lead"), F.lit(1).cast("long").alias("cluster_size"), F.col("report_count"), *carry)
     return together.unionByName(alone)
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window as W, functions as F
 
 from tidewire.functions import text as t
 from tidewire.operators import events, rank, search
-from tidewire.plans.wire import NOW_MS, STORIES_SQL, feed_sections, stories
+from tidewire.plans.wire import NOW_MS, STORIES_SQL, feed_sections, stories, stories_in_place
 from tidewire.queries import query, sqltext as q
-from tidewire.session import table
+from tidewire.session import BROADCAST_ROWS, cut_lineage, few, table
 
 YEAR_HOURS = 24 * 365
 SCORE_SQL = f"round(100 / (1 + {q.age('ts', NOW_MS)} / 6) + CASE WHEN coalesce(image_url, '') <> '' THEN 4 ELSE 0 END - CASE WHEN {q.opinion('title', 'link')} THEN 30 ELSE 0 END, 6)"
@@ -270,7 +270,7 @@ def new_stories(spark, d):
 @query("wire_merge")
 def wire_merge(spark, d):
     """Duplicates dropped, events folded into their leads, newest first by place."""
-    base = stories(spark, d)
-    once = base.join(events.dedupe_stories(base).where("kept").select("ord"), "ord", "left_semi")
-    leads = events.cluster_stories(once).where("is_lead").select("ord", "cluster_size", F.col("report_count").alias("reports"))
-    return once.join(leads, "ord").select("ord", "id", rank.clamp_ts(F.col("ts"), NOW_MS).alias("t"), "cluster_size", "reports")
+    base = stories_in_place(spark, d)
+    dropped = few(cut_lineage(events.dedupe_stories(base).where("NOT kept").select("ord")), BROADCAST_ROWS // 4)
+    once = base.join(dropped, "ord", "left_anti").withColumn("t", rank.clamp_ts(F.col("ts"), NOW_MS))
+    return events.cluster_stories(once, "id", "t").where("is_lead").select("ord", "id", "t", "cluster_size", F.col("report_count").alias("reports"))

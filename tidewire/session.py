@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Upper bound, in rows, of any table an operator may hand to every executor.
 BROADCAST_ROWS = 200_000
@@ -36,6 +36,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (written somewhere), marked for broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once, so their Python workers can import it."""
     sc = spark.sparkContext
