@@ -77,6 +77,31 @@ def test_borderline_pairs_are_found(spark):
     assert len(want) == 200 and {(r.row_id_a, r.row_id_b) for r in neardup.group_pairs(groups).collect()} == want
 
 
+def test_clear_pairs_need_no_sequences(spark, monkeypatch):
+    """Pairs well above or below the threshold are decided by their fingerprints, and these are small."""
+    made = []
+    for i in range(300):
+        shared = 86 if i < 100 else 25
+        a = [f"c{i}x{k}" for k in range(102)]
+        made += [(2 * i, " ".join(a), None, None, None), (2 * i + 1, " ".join(a[: shared + 2] + [f"d{i}x{k}" for k in range(100 - shared)]), None, None, None)]
+    asked, exact = [], neardup._exact
+    monkeypatch.setattr(neardup, "_exact", lambda pairs, *rest: (asked.append(pairs.count()), exact(pairs, *rest))[1])
+    groups = neardup.near_duplicate_groups(spark.createDataFrame(made, ART))
+    assert {(r.row_id_a, r.row_id_b) for r in neardup.group_pairs(groups).collect()} == {(2 * i, 2 * i + 1) for i in range(100)}
+    assert sum(asked) < 20
+
+
+def test_copies_beyond_broadcast(spark, monkeypatch):
+    """Copies fold in the same way when there are too many for a broadcast."""
+    made = [(i, " ".join(WORDS[40 * (i % 5) : 40 * (i % 5) + 40]), None, None, None) for i in range(40)]
+    made += [(100 + i, " ".join(WORDS[40 * i : 40 * i + 38] + ["x", "y"]), None, None, None) for i in range(3)]
+    df = spark.createDataFrame(made, ART)
+    want = sorted([(i, i % 5) for i in range(40)] + [(100 + i, i) for i in range(3)])
+    for most in (neardup.BROADCAST_ROWS, 3):
+        monkeypatch.setattr(neardup, "BROADCAST_ROWS", most)
+        assert sorted((r.row_id, r.group_id) for r in neardup.near_duplicate_groups(df).collect()) == want
+
+
 FEEDS = "source_id string, source_name string"
 HIST = "row_id long, source_id string, source_name string, title string, link string, guid string, ord long"
 ITEM = "item_id long, source_id string, title string, link string, guid string, words string"

@@ -8,7 +8,7 @@ shares no block (by simulation) once in 4,000 pairs at the threshold of 0.45 and
 has the pigeonhole guarantee.)  Unlike texts of one wire are at a similarity of about 0.006; with blocks of three
 symbols there would be 170 times as many candidates among them, and these grow with the square of the rows.
 
-Candidates are decided on the Hamming distance of their fingerprints (one bit a symbol) where that is six standard
+Candidates are decided on the Hamming distance of their fingerprints (two bits a symbol) where that is six standard
 deviations from what a pair at the threshold has (wrong once in 500 million), else on the sequences themselves;
 groups close under chains.  Sequences are compared only for pairs that the decided ones leave in two groups.
 
@@ -25,17 +25,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewire.llm.boilerplate import Wording
 from tidewire.operators.graph import connected_components
 from tidewire.session import BROADCAST_ROWS, cut_lineage, ship, spread
 
 SYMBOLS = 256
+#: Bits of a symbol in the comparison of two fingerprints.
+PLANES = 2
 #: A block is the symbols at these distances from its number, around the end; the distances' differences are distinct.
 OFFSETS = (0, 17, 59, 131)
 _WORD = re.compile(r"\w+")
@@ -79,15 +82,23 @@ def sequences(text: str, width: int = 3) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The 32-bit key of each block, and the lowest bit of each symbol."""
+def fingerprint(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """The symbols, of 16 bits each, and their ``PLANES`` lowest bits, a plane of all symbols after the other."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(low), 1024):
         least = np.minimum(least, (low[i : i + 1024, None] * _A + _B).min(axis=0))
-    symbols = _mix(least.astype(np.uint64))
-    keys = _mix(np.sum([np.roll(symbols, -at) * _PLACE[k] for k, at in enumerate(OFFSETS)], axis=0, dtype=np.uint64)) >> np.uint64(32)
-    return keys.astype(np.uint32).view(np.int32), np.packbits((symbols & np.uint64(1)).astype(np.uint8)).tobytes()
+    symbols = _mix(least.astype(np.uint64)).astype(np.uint16)
+    return symbols.astype("<u2").tobytes(), np.packbits(symbols >> np.arange(PLANES, dtype=np.uint16)[:, None] & 1, axis=1).tobytes()
+
+
+def block_keys(symbols: list[bytes]) -> np.ndarray:
+    """The key of each block of each fingerprint, with the block's number above its 32 bits."""
+    each = np.frombuffer(b"".join(symbols), "<u2").reshape(len(symbols), SYMBOLS).astype(np.uint64)
+    keys = np.zeros_like(each)
+    for k, at in enumerate(OFFSETS):
+        keys += np.roll(each, -at, axis=1) * _PLACE[k]
+    return ((_mix(keys) >> np.uint64(32)) | (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32))).view(np.int64)
 
 
 def _joined(pdf: pd.DataFrame, wording: Wording) -> Iterator[str]:
@@ -99,7 +110,7 @@ def _joined(pdf: pd.DataFrame, wording: Wording) -> Iterator[str]:
 
 
 def fingerprints(articles: DataFrame, wording: Wording) -> DataFrame:
-    """row_id, digest (of the set of sequences), keys (of the blocks), bits, n (sequences); rows without words are left out."""
+    """row_id, digest (of the set of sequences), symbols, bits, n (sequences); rows without words are left out."""
     ship(articles.sparkSession)
     weights, bias = wording.weights, wording.bias
 
@@ -117,9 +128,23 @@ def fingerprints(articles: DataFrame, wording: Wording) -> DataFrame:
                     prints.append(own.fingerprint(hashes))
                     sizes.append(len(hashes))
             if ids:
-                yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "keys": [k for k, _ in prints], "bits": [b for _, b in prints], "n": pd.Series(sizes, dtype="int32")})
+                yield pd.DataFrame({"row_id": pd.Series(ids, dtype="int64"), "digest": digests, "symbols": [x for x, _ in prints], "bits": [b for _, b in prints], "n": pd.Series(sizes, dtype="int32")})
+
+    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, symbols binary, bits binary, n int")
+
+
+def _blocks(firsts: DataFrame) -> DataFrame:
+    """row_id and the key of each of its blocks."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tidewire.llm import neardup as own
+
+        for pdf in batches:
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i : i + 1000]
+                yield pd.DataFrame({"row_id": part["row_id"], "blocks": list(own.block_keys(part["symbols"].tolist()))})
 
-    return spread(articles.select("row_id", "title", "description", "content")).mapInPandas(make, "row_id long, digest binary, keys array<int>, bits binary, n int")
+    return firsts.select("row_id", "symbols").mapInPandas(make, "row_id long, blocks array<long>").select("row_id", F.explode("blocks").alias("block"))
 
 
 def _exact(pairs: DataFrame, articles: DataFrame, wording: Wording, threshold: float) -> DataFrame:
@@ -145,12 +170,16 @@ def _exact(pairs: DataFrame, articles: DataFrame, wording: Wording, threshold: f
 
 def _near(pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that may reach the threshold by the distance of their fingerprints, and whether they surely do."""
-    words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(SYMBOLS // 64)]
+    lanes = SYMBOLS // 64
+    words = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(PLANES * lanes)]
     side = firsts.select("row_id", "n", F.array(*words).alias("bits"))
     left, right = (side.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-    differ = sum(F.bit_count(F.col("bitsa")[i].bitwiseXOR(F.col("bitsb")[i])) for i in range(SYMBOLS // 64))
-    unlike = SYMBOLS * (1 - threshold) / 2
-    spread_of = 6 * (unlike * (1 + threshold) / 2) ** 0.5
+    # symbols are equal if they are in all planes
+    other = [[F.col("bitsa")[p * lanes + i].bitwiseXOR(F.col("bitsb")[p * lanes + i]) for p in range(PLANES)] for i in range(lanes)]
+    differ = sum(F.bit_count(reduce(Column.bitwiseOR, planes)) for planes in other)
+    share = (1 - threshold) * (1 - 0.5**PLANES)
+    unlike = SYMBOLS * share
+    spread_of = 6 * (unlike * (1 - share)) ** 0.5
     able = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
     return cut_lineage(pairs.join(left, "a").join(right, "b").where(able & (differ <= int(unlike + spread_of))).select("a", "b", (differ < unlike - spread_of).alias("sure")))
 
@@ -169,9 +198,15 @@ def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), thr
     content stand outside its story and are left out.
     """
     prints = cut_lineage(fingerprints(articles, wording))
-    # grouped anew at each use: only the columns used are shuffled, copies fold before the shuffle
-    firsts = prints.groupBy("digest").agg(*(F.min_by(c, "row_id").alias(c) for c in ("keys", "bits", "n")), F.min("row_id").alias("row_id"))
-    keyed = firsts.select("row_id", F.posexplode("keys").alias("at", "key")).select("row_id", (F.col("at") * F.lit(1 << 32) + F.col("key")).alias("block"))
+    first_of = prints.groupBy("digest").agg(F.min("row_id").alias("first"))
+    copies = cut_lineage(prints.select("row_id", "digest").join(first_of, "digest").where("row_id <> first").select("row_id", "first"))
+    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+        firsts = prints.drop("digest").join(copies, "row_id", "left_anti")
+    else:
+        # grouped anew at each use: only the columns used are shuffled, copies fold before the shuffle
+        firsts = prints.groupBy("digest").agg(*(F.min_by(c, "row_id").alias(c) for c in ("symbols", "bits", "n")), F.min("row_id").alias("row_id"))
+    keyed = _blocks(firsts)
     block = W.partitionBy("block")
     blocked = keyed.select("block", "row_id", F.min("row_id").over(block).alias("head"), F.count(F.lit(1)).over(block).alias("n"))
     members = cut_lineage(blocked.where("n > 1 AND row_id <> head"))
@@ -189,10 +224,10 @@ def near_duplicate_groups(articles: DataFrame, wording: Wording = Wording(), thr
     joint = connected_components(_apart(found, sure).select("in_a", "in_b"), "in_a", "in_b")
     alone = joint.join(sure.select("node"), "node", "left_anti").select("node", F.col("component").alias("whole"))
     groups = sure.join(joint.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone.select("node", F.col("whole").alias("component")))
-    heads_of = prints.groupBy("digest").agg(F.min("row_id").alias("first"))
     return (
-        prints.select("row_id", "digest")
-        .join(heads_of, "digest")
+        prints.select("row_id")
+        .join(copies, "row_id", "left")
+        .select("row_id", F.coalesce("first", "row_id").alias("first"))
         .join(groups, F.col("first") == F.col("node"), "left")
         .select("row_id", F.coalesce("component", "first").alias("group_id"))
     )
